@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import encodings, leaks, lookalikes, spans, subjects, tokens
+from . import encodings, leaks, lookalikes, personal, spans, subjects, tokens
 
 
 def _fields(spark: SparkSession, d: str) -> DataFrame:
@@ -42,6 +42,21 @@ def p2_shared_share(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_share(rows, spans.shared_stretches(rows)).withColumnRenamed("id", "section_id")
 
 
+def _personal_texts(spark: SparkSession, d: str) -> DataFrame:
+    parts = (("file", "file_facts", "file_id", "text"), ("block", "blocks", "block_id", "text"), ("highlight", "highlights", "highlight_id", "hl_value"))
+    rows = [table(spark, d, t).select(F.lit(src).alias("src"), F.col(i).alias("rec_id"), F.col(c).alias("text")) for src, t, i, c in parts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.mentions(_personal_texts(spark, d)).drop("end_at")
+
+
+def p4_sanitised(spark: SparkSession, d: str) -> DataFrame:
+    texts = _personal_texts(spark, d)
+    return personal.sanitised(texts, personal.mentions(texts))
+
+
 def _alike_texts(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.lit("text").alias("src"), F.col("doc_id").alias("id"), "text")
     titles = table(spark, d, "file_facts").select(F.lit("title").alias("src"), F.col("file_id").alias("id"), F.col("title").alias("text"))
