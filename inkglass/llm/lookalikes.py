@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import keep
+
 # Letters of other scripts that are drawn like a Latin one.
 SAME_DRAWING = {
     "A": "ΑАᎪ", "B": "ΒВᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ΕЕᎬ", "G": "ԌᏀ", "H": "ΗНᎻ", "I": "ΙІӀ", "J": "ЈͿᎫ",
@@ -168,11 +170,15 @@ class Rewriter:
         for x, to in table.items():
             self.automaton.add_word(x, (len(x), to))
         self.automaton.make_automaton()
+        # a text without any of these has no pattern
+        self.signs = frozenset(x[-1] for x in table)
         self.ascii_stays = not any(x.isascii() and x.isprintable() for x in table)
 
     def __call__(self, text: str) -> str:
         if text.isascii() and self.ascii_stays and text.isprintable():
             return text
+        if self.signs.isdisjoint(text):
+            return text if text.isascii() else U.normalize("NFC", text)
         for _ in range(8):  # a rewrite can make room for another; they end long before
             out, at = [], 0
             for end, (size, to) in self.automaton.iter_long(text):
@@ -236,7 +242,7 @@ def alike_pairs_of(texts: DataFrame, table: dict[str, str]) -> DataFrame:
     each pair of strings gets the ids of both sides; so no row is made that is
     not a result, and copies of one string are never compared.
     """
-    rows = alike_rows(texts, table).distinct()
+    rows = keep(alike_rows(texts, table).distinct())
     strings = rows.groupBy("src", "form", "raw").agg(F.lit(1).alias("one"))
     mixed = strings.groupBy("src", "form").count().where("count > 1").select("src", "form")
     few = rows.join(mixed, ["src", "form"], "left_semi").groupBy("src", "form", "raw", "id").agg(F.lit(1).alias("one")).drop("one")
