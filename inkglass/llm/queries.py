@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import encodings, leaks, lookalikes, personal, spans, subjects, tokens
+from . import encodings, leaks, lookalikes, personal, scans, spans, subjects, tokens
 
 
 def _fields(spark: SparkSession, d: str) -> DataFrame:
@@ -42,6 +42,14 @@ def p2_shared_share(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_share(rows, spans.shared_stretches(rows)).withColumnRenamed("id", "section_id")
 
 
+def _scans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "ocr_line", "line_id", "file_id", "page", "line_no", "text"), table(spark, d, "blocks", "block_id", "section_id", "block_no", "text")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.noise(*_scans(spark, d))
+
+
 def _personal_texts(spark: SparkSession, d: str) -> DataFrame:
     parts = (("file", "file_facts", "file_id", "text"), ("block", "blocks", "block_id", "text"), ("highlight", "highlights", "highlight_id", "hl_value"))
     rows = [table(spark, d, t).select(F.lit(src).alias("src"), F.col(i).alias("rec_id"), F.col(c).alias("text")) for src, t, i, c in parts]
