@@ -171,7 +171,7 @@ class Rewriter:
             self.automaton.add_word(x, (len(x), to))
         self.automaton.make_automaton()
         # a text without any of these has no pattern
-        self.signs = frozenset(x[-1] for x in table)
+        self.signs = frozenset(x[-1] if x.isascii() or not x[-1].isascii() else next(c for c in x if not c.isascii()) for x in table)
         self.ascii_stays = not any(x.isascii() and x.isprintable() for x in table)
 
     def __call__(self, text: str) -> str:
