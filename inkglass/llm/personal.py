@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 # Words that stand with each kind of number, in four languages.
 CUES = {
     "phone": "phone telephone tel fax mobile cell call calls text sms ring rang telefon handy rückruf anruf téléphone joignable portable appeler teléfono móvil llamar",
@@ -201,15 +203,15 @@ def judge_names(candidates: DataFrame, small: DataFrame) -> tuple[DataFrame, Dat
     # words that are often written small are no names; each part of a double word counts
     parts = two.select("n", F.explode(F.array("first", "second")).alias("word")).groupBy("word").agg(F.sum("n").alias("n")).select("word", "n", F.explode(F.split("word", "-")).alias("part"))
     never = parts.join(small, parts["part"] == small["word"], "left").groupBy(parts["word"]).agg(F.max(F.coalesce("small", F.lit(0)) / F.col("n")).alias("small")).where(F.col("small") <= SMALL_SHARE).select("word")
-    sound = two.join(never.withColumnRenamed("word", "first"), "first", "left_semi").join(never.withColumnRenamed("word", "second"), "second", "left_semi").persist()
-    turned = sound.select(F.when(F.col("comma"), F.col("second")).otherwise(F.col("first")).alias("given"), F.when(F.col("comma"), F.col("first")).otherwise(F.col("second")).alias("family"), "comma", "broken").where("not broken").drop("broken").persist()
-    seeds = turned.sparkSession.createDataFrame([(g,) for g in GIVEN], "given string")
+    sound = cut(two.join(never.withColumnRenamed("word", "first"), "first", "left_semi").join(never.withColumnRenamed("word", "second"), "second", "left_semi"))
+    turned = sound.select(F.when(F.col("comma"), F.col("second")).otherwise(F.col("first")).alias("given"), F.when(F.col("comma"), F.col("first")).otherwise(F.col("second")).alias("family"), "comma", "broken").where("not broken").drop("broken")
+    seeds = turned.sparkSession.range(1).select(F.explode(F.array(*[F.lit(g) for g in GIVEN])).alias("given"))
     families = turned.join(F.broadcast(seeds), "given", "left_semi").where(~F.col("family").isin(GIVEN)).select("family").distinct()
     # how many families a word goes with, and with how many that the known given names go with, too
     shared = families.withColumn("shared", F.lit(1))
     spread = turned.where(~F.col("comma")).join(shared, "family", "left").groupBy("given").agg(F.count_distinct("family").alias("all"), F.count_distinct(F.when(F.col("shared") == 1, F.col("family"))).alias("known"))
     more = spread.where("known >= 3 and known >= 0.3 * all").join(families.withColumnRenamed("family", "given"), "given", "left_anti").select("given")
-    given = seeds.unionByName(more).distinct().persist()
+    given = cut(seeds.unionByName(more).distinct())
     g1 = given.select(F.col("given").alias("first"), F.lit(1).alias("g1"))
     g2 = given.select(F.col("given").alias("second"), F.lit(1).alias("g2"))
     # a name broken over two lines needs a family name that is known from elsewhere
@@ -224,7 +226,7 @@ def judge_names(candidates: DataFrame, small: DataFrame) -> tuple[DataFrame, Dat
 
 def mentions(texts: DataFrame) -> DataFrame:
     """(src, rec_id, kind, start_at, end_at) of each mention."""
-    candidates = find_candidates(texts).persist()
+    candidates = cut(find_candidates(texts))
     direct = candidates.where("kind in ('email', 'address')").select("src", "rec_id", "kind", "start_at", "end_at")
     names, _ = judge_names(candidates, small_words(texts))
     return direct.unionByName(judge_numbers(candidates)).unionByName(names).distinct()
