@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut, keep
+
 LEAST = 200
 #: Tokens: runs of up to LONGEST letters and digits; of longer runs each character; any other character.
 LONGEST = 10
@@ -92,39 +94,48 @@ def token_bounds(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], n)
 
 
+def _minimal(h: _Hashes, k: int, w: int):
+    """Starts and ends of tokens, hashes of k-mers, and of each window of k-mers the one of least hash."""
+    starts, ends = token_bounds(h.codes)
+    n = len(starts) - k + 1
+    if n < 1:
+        return starts, ends, None, None
+    mers = h.of(starts[:n], ends[k - 1 :])
+    if n < w:
+        return starts, ends, mers, np.array([mers.argmin()])
+    return starts, ends, mers, np.lib.stride_tricks.sliding_window_view(mers, w).argmin(1) + np.arange(n - w + 1)
+
+
 def _anchors(least: int):
     k, w = _geometry(least)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, at, to, hashes = [], [], [], []
+            ids, nth, at, hashes = [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h = _Hashes(text, (_B1,))
-                starts, ends = token_bounds(h.codes)
-                n = len(starts) - k + 1
-                if n < 1:
+                starts, _, mers, least_of = _minimal(_Hashes(text, (_B1,)), k, w)
+                if mers is None:
                     continue
-                mers = h.of(starts[:n], ends[k - 1 :])
-                pick = np.unique(np.lib.stride_tricks.sliding_window_view(mers, w).argmin(1) + np.arange(n - w + 1)) if n >= w else np.array([mers.argmin()])
+                pick = np.unique(least_of)
                 ids.append(np.full(len(pick), i))
+                nth.append(np.arange(len(pick)))
                 at.append(starts[pick])
-                to.append(ends[pick + k - 1])
                 hashes.append(mers[pick].view(np.int64))
             cat = lambda x, t: pa.array(np.concatenate(x) if x else [], t)
-            yield pa.RecordBatch.from_arrays([cat(ids, pa.int64()), cat(at, pa.int32()), cat(to, pa.int32()), cat(hashes, pa.int64())], ["id", "at", "upto", "mer"])
+            yield pa.RecordBatch.from_arrays([cat(ids, pa.int64()), cat(nth, pa.int32()), cat(at, pa.int32()), cat(hashes, pa.int64())], ["id", "nth", "at", "mer"])
 
     return go
 
 
 def pieces(texts: DataFrame, least: int = LEAST) -> DataFrame:
-    """(id, piece, at, upto) of each unbranched piece of repeated k-mers, per
-    record; ``texts`` has id (long) and text."""
-    mers = texts.where(F.length("text") >= least).select("id", "text").mapInArrow(_anchors(least), "id long, at int, upto int, mer long").persist()
+    """(id, piece, at, last) of each unbranched piece of repeated k-mers, per
+    record: the starts of its first and last one; ``texts`` has id (long) and text."""
+    mers = keep(texts.where(F.length("text") >= least).select("id", "text").mapInArrow(_anchors(least), "id long, nth int, at int, mer long"))
     repeated = mers.groupBy("mer").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("mer")
     walked = mers.join(repeated, "mer", "left_semi").distinct()
-    along = Window.partitionBy("id").orderBy("at")
-    near = F.lag("at").over(along) + least >= F.col("at")
-    steps = walked.withColumn("before", F.when(near, F.lag("mer").over(along)))
+    along = Window.partitionBy("id").orderBy("nth")
+    next_to = F.lag("nth").over(along) + 1 == F.col("nth")
+    steps = cut(walked.withColumn("before", F.when(next_to, F.lag("mer").over(along))))
     edges = steps.where("before is not null").select("before", "mer")
     # edges whose ends have no other way out or in
     only_out = edges.groupBy("before").agg(F.min("mer").alias("mer"), F.max("mer").alias("other")).where("mer = other").select("before", "mer")
@@ -132,26 +143,46 @@ def pieces(texts: DataFrame, least: int = LEAST) -> DataFrame:
     smooth = only_out.join(only_in, ["before", "mer"]).withColumn("smooth", F.lit(1))
     marked = steps.join(smooth, ["before", "mer"], "left")
     path = marked.withColumn("piece", F.sum(F.when(F.col("smooth").isNull(), 1).otherwise(0)).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    return path.groupBy("id", "piece").agg(F.min("at").alias("at"), F.max("upto").alias("upto"))
+    return path.groupBy("id", "piece").agg(F.min("at").alias("at"), F.max("at").alias("last"))
 
 
 def _windows(least: int):
+    """Runs of ``least`` characters that may be shared: all k-mers that stand for
+    their windows inside the run are repeated.  Any shared run is one of them,
+    because its inside, but for the words at its ends, has the same k-mers
+    standing for it wherever it stands."""
+    k, w = _geometry(least)
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, at, h1, h2 = [], [], [], []
-            for i, text, spans in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for i, text, spans in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 h = _Hashes(text)
                 n = len(h.codes) - least + 1
-                wanted = np.zeros(n + 1, np.int64)
+                starts, ends, mers, least_of = _minimal(h, k, w)
+                if mers is None or n < 1:
+                    continue
+                again = np.zeros(len(starts), bool)
                 for s in spans:
-                    # every run of ``least`` characters that touches the piece
-                    wanted[min(n, max(0, s["at"] - least))] += 1
-                    wanted[min(n, s["upto"])] -= 1
-                starts = np.nonzero(np.cumsum(wanted[:-1]) > 0)[0]
-                ids.append(np.full(len(starts), i))
-                at.append(starts)
-                h1.append(h.of(starts, starts + least).view(np.int64))
-                h2.append(h.of(starts, starts + least, 1).view(np.int64))
+                    again[(starts >= s["at"]) & (starts <= s["last"])] = True
+                wide = min(w, len(mers))
+                first, upto = starts[: len(least_of)], ends[k + wide - 2 : k + wide - 2 + len(least_of)]
+                good = again[least_of]
+                count = np.zeros((2, n + 1), np.int64)
+                lo, hi = np.maximum(upto - least, 0), np.minimum(first, n - 1)
+                ok = good & (lo <= hi)
+                np.add.at(count[0], lo[ok], 1)
+                np.add.at(count[0], hi[ok] + 1, -1)
+                lo, hi = np.maximum(upto - least + LONGEST, 0), np.minimum(first - LONGEST, n - 1)
+                bad = ~good & (lo <= hi)
+                np.add.at(count[1], lo[bad], 1)
+                np.add.at(count[1], hi[bad] + 1, -1)
+                have = np.cumsum(count, axis=1)[:, :-1]
+                at_ = np.nonzero((have[0] > 0) & (have[1] == 0))[0]
+                ids.append(np.full(len(at_), i))
+                at.append(at_)
+                h1.append(h.of(at_, at_ + least).view(np.int64))
+                h2.append(h.of(at_, at_ + least, 1).view(np.int64))
             cat = lambda x, t: pa.array(np.concatenate(x) if x else [], t)
             yield pa.RecordBatch.from_arrays([cat(ids, pa.int64()), cat(at, pa.int32()), cat(h1, pa.int64()), cat(h2, pa.int64())], ["id", "at", "h1", "h2"])
 
@@ -170,18 +201,20 @@ def shared_stretches(records: DataFrame, least: int = LEAST) -> DataFrame:
     shared spans; ``records`` has id (long), text and sources (array of strings).
     """
     rows = records.select("id", "text", F.array_sort(F.array_distinct(F.coalesce("sources", F.array().cast("array<string>")))).alias("sources"))
-    spans = pieces(rows, least).groupBy("id").agg(F.collect_list(F.struct("at", "upto")).alias("spans"))
+    spans = pieces(rows, least).groupBy("id").agg(F.collect_list(F.struct("at", "last")).alias("spans"))
+    spans = cut(spans)
     one = rows.join(spans, "id").dropDuplicates(["id"])
     where = one.select("id", "text", "spans").mapInArrow(_windows(least), "id long, at int, h1 long, h2 long")
     sets = rows.join(spans, "id", "left_semi").dropDuplicates(["id"]).select("id", "sources", F.when(F.size("sources") == 0, F.concat(F.lit("\x02"), F.col("id").cast("string"))).otherwise(F.array_join("sources", "\x01")).alias("set_key"))
-    runs = where.join(sets, "id").persist()
+    runs = cut(where.join(sets, "id"))
     witness = F.struct("set_key", "id", "sources")
     groups = runs.groupBy("h1", "h2").agg(F.min(witness).alias("a"), F.max(witness).alias("b"), F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("first", "last")
     apart = lambda w: (F.col(f"{w}.id") != F.col("id")) & ~F.arrays_overlap(F.col(f"{w}.sources"), F.col("sources"))
     judged = runs.join(groups, ["h1", "h2"]).withColumn("sure", F.coalesce(apart("a") | apart("b"), F.lit(False)))
     sure = judged.where("sure").select("id", "at")
     # neither the first nor the last set of sources is apart: look at all of them
-    open_rows = judged.where(~F.col("sure") & (F.col("a.set_key") != F.col("b.set_key"))).select("h1", "h2", "id", "at", "set_key", "sources").persist()
+    open_rows = judged.where(~F.col("sure") & (F.col("a.set_key") != F.col("b.set_key"))).select("h1", "h2", "id", "at", "set_key", "sources")
+    open_rows = cut(open_rows)
     asked = open_rows.select("h1", "h2", "set_key", "sources").distinct()
     all_sets = runs.select("h1", "h2", "set_key", "sources").join(asked.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").distinct()
     small = F.size("sources") <= SUBSETS_UP_TO
