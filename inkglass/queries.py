@@ -2,19 +2,371 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from .operators import timestamps
+from .functions import describe, detectors, kinds, names, text, titles, topics
+from .functions.markup import parse_markup, to_markup
+from .operators import catalog, documents, duplicates, pages, timestamps
+from .plans import planner
 from .session import table
+from .sinks import indexes, render
 
+KEYWORD = "reading room"
+SEARCH = "pdf notice"
 
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
+
+def _files(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Files once each; repeated deliveries are equal in every column."""
+    return table(spark, d, "file_facts", "file_id", *columns).dropDuplicates(["file_id"])
+
+
+def p6_found(spark, d):
     return timestamps.to_instants(table(spark, d, "date_offers", "offer_id", "date_text", "device_id"), table(spark, d, "devices", "device_id", "tz_name"))
 
 
+# ---- duplicates
+
+
+def _copies(spark, d):
+    rows = table(spark, d, "documents", "doc_id", "text")
+    return rows, F.col("doc_id"), F.sha2("text", 256), F.length("text").cast("long"), F.col("doc_id")
+
+
+def dup_groups(spark, d):
+    return duplicates.groups(*_copies(spark, d))
+
+
+def dup_extras(spark, d):
+    return duplicates.extras(*_copies(spark, d))
+
+
+def dup_files(spark, d):
+    """Files with equal titles: the copy kept by the clearness of its name, then age and depth."""
+    rows = _files(spark, d, "rel_path", "base", "modified", "title").where("title <> ''")
+    no = F.lit(False)
+    order = duplicates.keeper_order(F.col("base"), F.col("modified"), F.concat_ws("#", "rel_path", F.col("file_id").cast("string")), no, no)
+    return duplicates.groups(rows, F.col("file_id"), F.sha2("title", 256), F.length("title").cast("long"), order)
+
+
+# ---- text scalars
+
+
+def norm_text(spark, d):
+    t = F.col("text")
+    return table(spark, d, "benchmark", "item_id", "text").select("item_id", text.normalize(t).alias("norm"), text.alnum_count(t).alias("alnum"), text.word_count(t).alias("words"))
+
+
+def clean_titles(spark, d):
+    return _files(spark, d, "title").where("title is not null").select("file_id", text.clean_text(F.col("title")).alias("clean"))
+
+
+def previews(spark, d):
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", text.preview(F.col("text")).alias("preview"), text.truncate(F.col("text"), 70).alias("cut"))
+
+
+def size_labels(spark, d):
+    n = F.col("n_bytes")
+    return _files(spark, d, "n_bytes").select("file_id", text.format_size(n).alias("size"), text.format_size(n * 4000).alias("size_4000"), text.format_duration(F.floor(n / 100)).alias("length"))
+
+
+def escapes(spark, d):
+    t = F.col("text")
+    return table(spark, d, "benchmark", "item_id", "text").select("item_id", text.md_escape(t).alias("md"), text.html_escape(t).alias("html"), text.slug(t, F.col("item_id")).alias("slug"), text.safe_file_name(t, "md").alias("file_name"), text.field_unescape(text.field_escape(t)).alias("back"))
+
+
+def similar_neighbours(spark, d):
+    """Dice of each section title and the next one's, without a cross join."""
+    rows = table(spark, d, "sections", "section_id", "title").where("title is not null").distinct()
+    a, b = rows.select("section_id", F.left(text.normalize(F.col("title")), F.lit(40)).alias("a")), rows.select((F.col("section_id") - 1).alias("section_id"), F.left(text.normalize(F.col("title")), F.lit(40)).alias("b"))
+    return a.join(b, "section_id").select("section_id", F.round(text.similarity(F.col("a"), F.col("b")), 6).alias("dice"))
+
+
+def natural_order(spark, d):
+    return _files(spark, d, "rel_path").select("file_id", text.natural_key(F.substring_index("rel_path", "/", -1)).alias("sort_key"))
+
+
+def joined_lines(spark, d):
+    """Each recognised line with the next of its page, as one sentence goes on."""
+    rows = table(spark, d, "ocr_line", "line_id", "file_id", "page", "line_no", "text").distinct()
+    w = Window.partitionBy("file_id", "page").orderBy("line_no", "line_id")
+    return rows.withColumn("b", F.lead("text").over(w)).where("b is not null").select("line_id", text.join_lines(F.col("text"), F.col("b")).alias("joined"))
+
+
+# ---- details
+
+
+def _entries(spark, d):
+    rows = table(spark, d, "blocks", "section_id", "block_no", "text", "block_id").where("text is not null").distinct()
+    return rows.select(F.col("section_id").alias("grp"), F.struct("block_no", "block_id").alias("pos"), F.col("block_no").alias("source"), "text")
+
+
+def _detail(spark, d, key):
+    found = detectors.highlights(_entries(spark, d), (key,))
+    return found.select(F.col("grp").alias("section_id"), F.lower("value").alias("value"), F.size("sources").alias("sources"))
+
+
+def emails_found(spark, d):
+    return _detail(spark, d, "emails")
+
+
+def phones_found(spark, d):
+    return _detail(spark, d, "phones")
+
+
+def key_details(spark, d):
+    """All five kinds of details of every section, with sources in order."""
+    return detectors.highlights(_entries(spark, d)).select(F.col("grp").alias("section_id"), "key", "value", F.array_join(F.transform("sources", lambda s: s.cast("string")), ",").alias("sources"))
+
+
+def links_minus_email_domains(spark, d):
+    rows = table(spark, d, "highlights", "section_id", "hl_key", "hl_value").where("hl_value is not null").select("section_id", F.lower("hl_key").alias("k"), F.lower("hl_value").alias("v")).distinct()
+    mails = rows.where("k = 'emails'").select("section_id", F.explode(F.array("v", F.substring_index("v", "@", -1))).alias("v")).distinct()
+    return rows.where("k = 'links'").join(mails, ["section_id", "v"], "left_anti").select("section_id", F.col("v").alias("link"))
+
+
+def highlight_values(spark, d):
+    rows = table(spark, d, "highlights", "highlight_id", "section_id", "hl_key", "hl_value").where("hl_value <> ''").distinct()
+    return rows.groupBy("section_id", F.lower("hl_key").alias("hl_key"), F.lower("hl_value").alias("low")).agg(F.min_by("hl_value", "highlight_id").alias("value"), F.count("*").alias("times"))
+
+
+def keyword_mentions(spark, d):
+    return table(spark, d, "documents", "doc_id", "text").where(F.col("text").rlike(text.keyword_pattern(KEYWORD))).select("doc_id")
+
+
+def keyword_dedup(spark, d):
+    """Blocks that mention a word, without those that an earlier one of the section contains."""
+    rows = table(spark, d, "blocks", "section_id", "block_no", "text").where("text is not null").distinct()
+    hits = rows.where(F.col("text").rlike(text.keyword_pattern("the"))).select("section_id", "block_no", text.normalize(F.col("text")).alias("norm"))
+    earlier = hits.select("section_id", F.col("block_no").alias("no"), F.col("norm").alias("whole"))
+    return hits.join(earlier, (hits["section_id"] == earlier["section_id"]) & (F.col("no") < F.col("block_no")) & F.contains("whole", F.col("norm")), "left_anti").select("section_id", "block_no")
+
+
+# ---- names, kinds, titles, topics
+
+
+def kind_counts(spark, d):
+    kind = kinds.kind_of(F.col("rel_path"))
+    return _files(spark, d, "rel_path").groupBy(kind.alias("kind"), kinds.label_of(kind).alias("label")).agg(F.count("*").alias("files"))
+
+
+def name_meaningful(spark, d):
+    return _files(spark, d, "title").where("title is not null").select("file_id", names.is_meaningful(F.col("title")).alias("clear"))
+
+
+def sanitized(spark, d):
+    return table(spark, d, "benchmark", "item_id", "text").select("item_id", names.sanitize(F.col("text"), 60).alias("name"))
+
+
+def first_good_lines(spark, d):
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", titles.first_good_line(F.col("text")).alias("title"))
+
+
+def topic_classify(spark, d):
+    rows = topics.classify(_files(spark, d, "title", "text"))
+    return rows.where("match is not null").select("file_id", "match.topic", "match.label", "match.score")
+
+
+def file_descriptions(spark, d):
+    rows = _files(spark, d, "kind", "doc_label", "pages", "width", "height", "place", "tags", "details")
+    return rows.select("file_id", describe.describe({c: F.col(c) for c in rows.columns[1:]}).alias("about"))
+
+
+def best_date(spark, d):
+    """The offer from the best source for each file; the first offered among equals."""
+    rows = table(spark, d, "date_offers", "offer_id", "file_id", "date_text", "date_source").where("date_text <> ''").distinct()
+    return rows.groupBy("file_id").agg(F.min_by("date_text", F.struct("date_source", "offer_id")).alias("date_text"), F.min("date_source").alias("date_source"))
+
+
+def file_name_dates(spark, d):
+    from .functions.dates import from_file_name
+
+    rows = table(spark, d, "date_offers", "offer_id", "date_text").where("date_text is not null").distinct()
+    return rows.select("offer_id", from_file_name(F.col("date_text")).alias("moment")).where("moment is not null")
+
+
+# ---- folders and catalog
+
+
+def folder_counts(spark, d):
+    return catalog.counts_by_top_folder(_files(spark, d, "rel_path"), "rel_path")
+
+
+def folder_rollup(spark, d):
+    return catalog.roll_up(_files(spark, d, "rel_path", "n_bytes"), "rel_path", "n_bytes")
+
+
+def _catalog(spark, d):
+    rows = _files(spark, d, "rel_path", "kind", "modified", "n_bytes", "title", "text", "doc_label", "topic")
+    empty = F.lit("")
+    return rows.select(
+        F.concat_ws("/", F.coalesce("topic", F.lit("Other")), F.concat(F.col("file_id").cast("string"), F.lit(" "), F.substring_index("rel_path", "/", -1))).alias("path"), F.col("rel_path").alias("original_path"), "kind",
+        F.date_format("modified", "yyyy-MM-dd HH.mm").alias("date"), F.col("n_bytes").alias("size"), F.coalesce("doc_label", empty).alias("description"), F.coalesce("title", empty).alias("preview"), empty.alias("note"),
+        F.coalesce(F.left("text", F.lit(1500)), empty).alias("search_text"), F.lit("1").alias("run_id"),
+    )
+
+
+def catalog_search(spark, d):
+    return catalog.search(_catalog(spark, d), SEARCH).select("path", "score", "date")
+
+
+def catalog_upsert(spark, d):
+    """Entries of files with a title, then all entries of images put over them."""
+    whole = _catalog(spark, d)
+    new = whole.where("kind in ('PHOTO', 'SCREENSHOT')").withColumn("run_id", F.lit("2"))
+    return catalog.upsert(whole.where("preview <> ''"), new).groupBy("run_id").agg(F.count("*").alias("entries"), F.sum("size").alias("bytes"))
+
+
+def catalog_join(spark, d):
+    labels = table(spark, d, "labels", "doc_id", "quality", "toxic").distinct()
+    return table(spark, d, "documents", "doc_id", "n_chars").join(labels, "doc_id", "left")
+
+
+def catalog_prune(spark, d):
+    return table(spark, d, "documents", "doc_id").join(table(spark, d, "labels", "doc_id"), "doc_id", "left_semi")
+
+
+def catalog_untracked(spark, d):
+    return table(spark, d, "documents", "doc_id").join(table(spark, d, "labels", "doc_id"), "doc_id", "left_anti")
+
+
+def index_lines(spark, d):
+    return indexes.master_lines(_catalog(spark, d))
+
+
+def folder_index_texts(spark, d):
+    return indexes.folder_indexes(_catalog(spark, d))
+
+
+def unique_names(spark, d):
+    """Names of files in their folders, numbered where they clash."""
+    rows = _files(spark, d, "rel_path").select("file_id", F.regexp_replace("rel_path", "/[^/]*$", "").alias("folder"), F.substring_index("rel_path", "/", -1).alias("name"))
+    return planner.unique_names(rows, "folder", "name", ["file_id"]).select("file_id", "folder", "claimed")
+
+
+# ---- lines and pages
+
+
+def line_gaps(spark, d):
+    rows = table(spark, d, "ocr_line", "line_id", "file_id", "page", "line_no", "bbox").distinct().select("line_id", "file_id", "page", "line_no", "bbox.y0", "bbox.y1")
+    gaps = pages.line_gaps(rows, ["file_id", "page"], "line_no")
+    return gaps.where("gap >= 0").groupBy("file_id").agg(F.percentile("gap", 0.5).alias("typical"), F.count("*").alias("gaps"))
+
+
+def weighted_body_size(spark, d):
+    rows = table(spark, d, "ocr_line", "line_id", "file_id", "text", "bbox").distinct()
+    return rows.groupBy("file_id").agg(pages.body_size((F.col("bbox.y1") - F.col("bbox.y0")) * 0.72, F.col("text")).alias("body"))
+
+
+def line_classes(spark, d):
+    """How lines of blocks begin."""
+    rows = table(spark, d, "blocks", "block_id", "text").where("text is not null").distinct().select("block_id", F.explode(F.split("text", "\n")).alias("line"))
+    x = F.col("line")
+    kind = (
+        F.when(x.rlike(CHECK), "check").when(x.rlike(ORDERED), "ordered").when(x.rlike(BULLET) | x.rlike(MISREAD_BULLET), "bullet")
+        .when(x.rlike(FIELD) & ~x.rlike("(?i)^https?:"), "field").otherwise("text")
+    )
+    return rows.groupBy("block_id", kind.alias("kind")).agg(F.count("*").alias("lines"))
+
+
+# Beginnings of lines, without lookaround.
+CHECK = r"^(?:\[(?: |x|X|✓|✔)?\]|\[[1lI|]\s|LJ\s|☐|□|☑|☒|✅|✓|✔)\s*\S"
+ORDERED = r"^\d{1,2}[.)]\s+\S"
+BULLET = r"^[•●○◦▪▫■◆◇►▸‣⁃∙·\-–—*+>]\s+\S"
+MISREAD_BULLET = r"^[«»©®oe¢c]\s+[A-Z0-9\"'(]"
+FIELD = r"^[A-Z][A-Za-z0-9 '&/#().-]{0,28}:\s+\S"
+
+
+def reading_order(spark, d):
+    """The text of each page, blocks read in bands of 40 from the top and from the left."""
+    rows = table(spark, d, "ocr_line", "line_id", "file_id", "page", "text", "bbox").distinct()
+    key = F.struct(F.floor(F.col("bbox.y0") / 40).alias("band"), F.col("bbox.x0").alias("x"), "line_id", "text")
+    return rows.groupBy("file_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda k: k["text"]), "\n").alias("page_text"))
+
+
+def block_runs(spark, d):
+    """Neighbouring blocks of one type in a section: gaps and islands."""
+    rows = table(spark, d, "blocks", "block_id", "section_id", "block_no", "block_type").distinct()
+    w = Window.partitionBy("section_id").orderBy("block_no", "block_id")
+    new = F.when(F.col("block_type").eqNullSafe(F.lag("block_type").over(w)), 0).otherwise(1)
+    runs = rows.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("section_id", "run", "block_type").agg(F.count("*").alias("blocks"), F.min("block_no").alias("first_no"))
+
+
+def section_stats(spark, d):
+    rows = table(spark, d, "sections", "section_id", "text", "confidence", "source_files", "removed_lines").dropDuplicates(["section_id"])
+    files = F.coalesce(F.size("source_files"), F.lit(0))
+    return rows.select("section_id", text.word_count(F.col("text")).alias("words"), F.coalesce(F.floor(F.col("confidence") + 0.5).cast("int"), F.lit(0)).alias("confidence"), F.coalesce(F.col("confidence") < 70, F.lit(False)).alias("unsure"), F.when(F.col("source_files").isNull(), 0).otherwise(files).alias("files"))
+
+
+def section_sources(spark, d):
+    """Sections of each file, a file named twice in a section counting once."""
+    rows = table(spark, d, "sections", "section_id", "source_files").dropDuplicates(["section_id"]).select("section_id", F.explode(F.array_distinct("source_files")).alias("file"))
+    return rows.groupBy("file").agg(F.count("*").alias("sections"), F.min("section_id").alias("first_section"))
+
+
+_OVERLAY = [(1, 1, 500.0, 100.0, "follow"), (1, 2, 40.0, 300.0, "alpha"), (1, 3, 60.0, 400.0, "beta"), (1, 4, 80.0, 500.0, "gamma"), (2, 1, 501.0, 101.0, "follow"), (2, 2, 40.0, 900.0, "delta"), (2, 3, 60.0, 950.0, "alpha"), (2, 4, 70.0, 970.0, "omega"), (3, 1, 515.0, 130.0, "follow"), (3, 2, 20.0, 700.0, "kappa"), (3, 3, 25.0, 720.0, "sigma")]
+_LINKS = [(1, 2), (2, 3), (5, 6), (8, 7), (9, 9), (10, 8)]
+
+
+def overlay_words(spark, d):
+    rows = spark.createDataFrame([("a", p, 0, w, n, x, y, 1080, 2400) for p, w, x, y, n in _OVERLAY], "doc string, page int, line int, word int, norm string, cx double, cy double, img_w int, img_h int")
+    return pages.overlay_words(rows).select("page", "word")
+
+
+def scroll_components(spark, d):
+    nodes = spark.range(1, 11).withColumnRenamed("id", "node")
+    return pages.link_components(nodes, spark.createDataFrame(_LINKS, "i long, j long"))
+
+
+def _as_pages(spark, d):
+    """Recognised lines of the first pages of every file as pages of a document each, 8 pages together."""
+    rows = table(spark, d, "ocr_line", "line_id", "file_id", "page", "block", "para", "line_no", "text", "confidence", "bbox", "img_w", "img_h").dropDuplicates(["line_id"])
+    word = F.struct(F.col("text").alias("text"), F.col("confidence").alias("confidence"), F.col("bbox").alias("bbox"), F.array().cast("array<struct<text:string,bbox:struct<x0:double,y0:double,x1:double,y1:double>>>").alias("symbols"))
+    line = F.struct(F.coalesce("line_no", F.lit(0)).alias("no"), F.coalesce("block", F.lit(0)).alias("block"), F.coalesce("para", F.lit(0)).alias("para"), "text", "confidence", "bbox", F.array(word).alias("words"))
+    doc = F.concat_ws("-", F.col("file_id").cast("string"), F.floor(F.col("page") / 8).cast("string"))
+    out = rows.groupBy(doc.alias("doc"), "page").agg(F.concat(F.lit("page "), F.max("page").cast("string")).alias("file_name"), F.max("img_w").alias("img_w"), F.max("img_h").alias("img_h"), F.array_sort(F.collect_list(line)).alias("lines"))
+    return out.withColumn("lines", F.transform("lines", lambda x: x.dropFields("no")))
+
+
+def organized_documents(spark, d):
+    return documents.organize(_as_pages(spark, d))
+
+
+def rendered_markdown(spark, d):
+    return render.rendered(documents.organize(_as_pages(spark, d)), "md")
+
+
+def chat_bubbles(spark, d):
+    """Messages of chats, one after another by one speaker joined: windows over inline turns."""
+    rows = spark.createDataFrame(_TURNS, "seq int, who string, words string")
+    w = Window.orderBy("seq")
+    marked = rows.withColumn("new", F.when(F.col("who").eqNullSafe(F.lag("who").over(w)), 0).otherwise(1)).withColumn("bubble", F.sum("new").over(w))
+    return marked.groupBy("bubble", "who").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "words"))), lambda x: x["words"]), " ").alias("said"))
+
+
+_TURNS = [(1, "Me", "hello"), (2, "Me", "are you there"), (3, "Jamie", "yes"), (4, "Me", "good"), (5, "Jamie", "see"), (6, "Jamie", "you")]
+
+
+def markup_roundtrip(spark, d):
+    """Blocks parsed from the texts of sections and written again give the same markup."""
+
+    @F.udf("boolean")
+    def same(t):
+        once = to_markup(parse_markup(t))
+        return to_markup(parse_markup(once)) == once
+
+    rows = table(spark, d, "sections", "section_id", "text").where("text is not null").distinct()
+    return rows.select("section_id", same("text").alias("same"))
+
+
+
 def queries() -> dict:
-    return {"p6_found": p6_found}
+    skip = {"queries", "oracle_sql", "table"}
+    return {k: f for k, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and k[0] != "_" and k not in skip}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracle import SQL
+
+    return dict(SQL)
