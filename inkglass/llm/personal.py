@@ -20,6 +20,7 @@ Fixed meaning: null and empty texts have no mention; repeated rows count once.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -70,6 +71,10 @@ _NUMBERS = regex.compile(rf"(?<![\w+])(?:{NUMBER})(?!\w)")
 _MAY_HAVE_MAIL = regex.compile(r"@|[\[({<]\s?(?:at|AT|arroba)|\s(?:dot|DOT|punto|punkt|point)\s")
 _ADDRESSES = regex.compile(ADDRESS)
 _EMAILS = regex.compile(EMAIL)
+# Cheap finders of the places where the forms above can be; all forms are inside what they find.
+_DIGIT_RUNS = re.compile(r"(?:[+(]|[A-Z]{1,3} ?)?\d[\dA-Z ().\-/]{4,}|[A-Z][A-Z\d]{7,}")
+_HOUSE_NUMBERS = re.compile(r"(?<![\w.,:/-])\d{1,4}[a-zA-Z]?(?![\w.:/-])")
+_CAPITALS = re.compile("[A-Z\u00c0-\u00de\u0100-\u03ff\u0400-\u042f][\\w'’-]+,?[ \n](?=[A-Z\u00c0-\u00de\u0100-\u03ff\u0400-\u042f])")
 _WORDS = regex.compile(r"\p{L}[\p{L}'’]*")
 #: A possible name: two capitalised words, the second perhaps double or both the other way round with a comma.
 _PAIRS = regex.compile(r"(?<![\p{L}\p{N}@.+_-])(\p{Lu}[\p{L}'’]+(?:-\p{Lu}[\p{L}'’]+)?)(,?[ \n])(?=(\p{Lu}[\p{L}'’]+(?:-\p{Lu}[\p{L}'’]+)?)(?![\p{L}\p{N}@_]))")
@@ -79,6 +84,30 @@ THRESHOLD = 1.0
 SMALL_SHARE = 0.1
 
 
+def _addresses(text: str):
+    """Addresses around each number that can be a house number."""
+    upto = 0
+    for n in _HOUSE_NUMBERS.finditer(text):
+        if n.start() < upto:
+            continue
+        m = _ADDRESSES.match(text, n.start())
+        if m is None and text.find(", ", n.end(), n.end() + 2) == n.end():  # the number after the street
+            first = max(upto, text.rfind("\n", 0, n.start()) + 1, n.start() - 60)
+            m = next((x for x in _ADDRESSES.finditer(text, first, min(len(text), n.end() + 60)) if x.start() <= n.start() < x.end()), None)
+        if m is not None:
+            upto = m.end()
+            yield m
+
+
+def _numbers(text: str):
+    """Numbers in one of the forms, inside runs of digits and capitals."""
+    upto = 0
+    for run in _DIGIT_RUNS.finditer(text):
+        for m in _NUMBERS.finditer(text, max(upto, run.start()), min(len(text), run.end() + 2)):
+            upto = m.end()
+            yield m
+
+
 def _candidates(text: str):
     """(kind, start, end, surface, terms): kind is email, address, number or pair."""
     taken = []
@@ -87,18 +116,21 @@ def _candidates(text: str):
             taken.append((m.start(), m.end()))
             yield "email", m.start(), m.end(), m[0], []
     free = lambda a, b: all(b <= s or a >= e for s, e in taken)
-    for m in _ADDRESSES.finditer(text):
+    for m in _addresses(text):
         if free(m.start(), m.end()):
             taken.append((m.start(), m.end()))
             yield "address", m.start(), m.end(), m[0], []
-    for m in _NUMBERS.finditer(text):
+    for m in _numbers(text):
         if free(m.start(), m.end()):
             before = _WORDS.findall(regex.split(r"[.;!?](?=\s[\p{Lu}\d])(?<!\b(?:no|nr|Nr|No|Nº|N°|tel|Tel)\.)|\n", text[max(0, m.start() - 48) : m.start()])[-1])[-4:]
             after = _WORDS.findall(regex.split(r"[.;!?](?=\s|$)|\n", text[m.end() : m.end() + 64])[0])[:8]
             taken.append((m.start(), m.end()))
             shape = regex.sub(r"[A-Z]", "A", regex.sub(r"\d", "9", m[0]))
             yield "number", m.start(), m.end(), m[0], ["#" + shape, *("<" + w.casefold() for w in before), *(">" + w.casefold() for w in after)]
-    for m in _PAIRS.finditer(text):
+    for place in _CAPITALS.finditer(text):
+        m = _PAIRS.match(text, place.start())
+        if m is None:
+            continue
         end = m.end() + len(m[3])
         if free(m.start(), end):
             yield "pair", m.start(), end, m[0] + m[3], [m[1].casefold(), m[2], m[3].casefold()]
@@ -126,14 +158,20 @@ def small_words(texts: DataFrame) -> DataFrame:
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
-        find = regex.compile(r"(?<![\p{L}\p{N}@.+_-])\p{Ll}[\p{L}'’]+(?![\p{L}\p{N}@_+])").findall
+        find = re.compile(r"[^\W\d_]{2,}").findall
+        small = lambda: [(w, n) for w, n in total.items() if w[0].islower()]
+
+        def rows():
+            out = small()
+            total.clear()
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())], ["word", "n"])
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 total.update(find(_EMAILS.sub(" ", text) if _MAY_HAVE_MAIL.search(text) else text))
             if len(total) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
-                total.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+                yield rows()
+        yield rows()
 
     rows = texts.where("text <> ''").select("text").mapInArrow(go, "word string, n long")
     return rows.groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("small"))
