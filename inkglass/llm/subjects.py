@@ -173,8 +173,10 @@ def grow(docs: DataFrame, lexicon: dict[str, int], seeds: dict[str, int], n: int
     prior = np.array([max(base[i] or 0, 1) for i in range(n)], float) / max(base[n] or 1, 1)
     share = [F.col(f"n{i}") / F.col(f"n{n}") for i in range(n)]
     best = F.greatest(*share)
-    lift = F.greatest(*[x / float(p) for x, p in zip(share, prior)])
-    rows = counts.where((best >= MIN_SHARE) & (lift >= 3) | F.col("word").isin(list(seeds))).collect()
+    # clearly more than the subject's share of all documents; where that is large, nearly always
+    needed = np.minimum(3 * prior, 0.9)
+    clear = F.greatest(*[x / float(p) for x, p in zip(share, needed)]) >= 1
+    rows = counts.where((best >= MIN_SHARE) & clear | F.col("word").isin(list(seeds))).collect()
     counts.unpersist()
     out = {w: s for w, s in seeds.items() if w not in {r.word for r in rows}}
     for r in rows:
@@ -183,7 +185,7 @@ def grow(docs: DataFrame, lexicon: dict[str, int], seeds: dict[str, int], n: int
         order = np.argsort(-score)
         p, all_docs = prior[order[0]], r[f"n{n}"]
         sigmas = (x[order[0]] - p) * all_docs / max((all_docs * p * (1 - min(p, 0.99))) ** 0.5, 1e-9)
-        if x[order[0]] >= MIN_SHARE and score[order[0]] >= 3 and score[order[0]] >= MIN_LEAD * score[order[1]] and sigmas >= MIN_SIGMAS:
+        if x[order[0]] >= max(MIN_SHARE, needed[order[0]]) and score[order[0]] >= MIN_LEAD * score[order[1]] and sigmas >= MIN_SIGMAS:
             out[r.word] = int(order[0])
     return out
 
