@@ -43,13 +43,17 @@ def p2_shared_share(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return table(spark, d, "ocr_line", "line_id", "file_id", "page", "line_no", "text"), table(spark, d, "blocks", "block_id", "section_id", "block_no", "text")
+    return table(spark, d, "ocr_line", "line_id", "file_id", "page", "para", "line_no", "text"), table(spark, d, "blocks", "block_id", "section_id", "block_no", "text")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.noise(*_scans(spark, d))
 
 
+def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scans.paragraphs(*_scans(spark, d))
+
+
 def _personal_texts(spark: SparkSession, d: str) -> DataFrame:
     parts = (("file", "file_facts", "file_id", "text"), ("block", "blocks", "block_id", "text"), ("highlight", "highlights", "highlight_id", "hl_value"))
     rows = [table(spark, d, t).select(F.lit(src).alias("src"), F.col(i).alias("rec_id"), F.col(c).alias("text")) for src, t, i, c in parts]

@@ -111,6 +111,8 @@ def test_noise(spark):
     assert {r for r, k in got if k == "broken_word"} == {at[p, 5] for p in range(1, 7)}
     assert (at[2, 8], "misread") in got and {r for r, k in got if k == "misread"} <= {at[2, 8], at[3, 0]}
     assert scans.noise(ocr.limit(0), blocks.limit(0)).count() == 0
+    text = {(r.grp, r.page): r.text for r in scans.paragraphs(ocr.withColumn("para", F.lit(1)), blocks).where("src = 'line'").collect()}
+    assert "without the committee described every cupboard" in text[7, 1] and "morning library" in text[7, 2] and not any("Blue" in t or "- 4" in t for t in text.values())
 
 
 def test_booster():
