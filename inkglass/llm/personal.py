@@ -120,11 +120,13 @@ def _candidates(text: str):
         if free(m.start(), m.end()):
             taken.append((m.start(), m.end()))
             yield "address", m.start(), m.end(), m[0], []
+    last = 0  # what stands before a number is not what stands after the one before it
     for m in _numbers(text):
         if free(m.start(), m.end()):
-            before = _WORDS.findall(regex.split(r"[.;!?](?=\s[\p{Lu}\d])(?<!\b(?:no|nr|Nr|No|Nº|N°|tel|Tel)\.)|\n", text[max(0, m.start() - 48) : m.start()])[-1])[-4:]
+            before = _WORDS.findall(regex.split(r"[.;!?](?=\s[\p{Lu}\d]|\s?$)(?<!\b(?:no|nr|Nr|No|Nº|N°|tel|Tel)\.)|\n", text[max(0, last, m.start() - 48) : m.start()])[-1])[-4:]
             after = _WORDS.findall(regex.split(r"[.;!?](?=\s|$)|\n", text[m.end() : m.end() + 64])[0])[:8]
             taken.append((m.start(), m.end()))
+            last = m.end()
             shape = regex.sub(r"[A-Z]", "A", regex.sub(r"\d", "9", m[0]))
             yield "number", m.start(), m.end(), m[0], ["#" + shape, *("<" + w.casefold() for w in before), *(">" + w.casefold() for w in after)]
     for place in _CAPITALS.finditer(text):
@@ -209,6 +211,7 @@ def disclosure(candidates: DataFrame) -> dict[str, dict[str, float]]:
 
 def judge_numbers(candidates: DataFrame) -> DataFrame:
     bits = disclosure(candidates)
+    cues = frozenset(w for words in CUES.values() for w in words.split())
     phone_shape = regex.compile(r"^(?:\+|\(9|00|99999 999999$|9{11}$|99 99 99 99 99$|999[-.]999[-.]9999$|9[ .-]999[ .-]999[ .-]9999$|9999 9 99)")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,6 +219,9 @@ def judge_numbers(candidates: DataFrame) -> DataFrame:
             kinds = []
             for terms in batch.column(4).to_pylist():
                 score = dict.fromkeys(CUES, 0.0)
+                if any(t[0] == "<" and t[1:] in cues for t in terms):
+                    # a word that says what follows leaves nothing to the text behind
+                    terms = [t for t in terms if t[0] != ">"]
                 for t in terms:
                     for k, w in bits.get(t, {}).items():
                         score[k] += w
