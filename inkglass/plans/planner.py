@@ -1,6 +1,7 @@
-"""Where each file should go and what it should be called, as one lazy program.
+"""Where each file should go and what it should be called.
 
-Duplicates are settled before contents are read; names that would clash get
+Files are read once: their facts are cut off from how they were made before
+names are claimed, which reads them again and again.  Duplicates are settled before contents are read; names that would clash get
 numbers within their folder; extra copies go to numbered review folders.
 """
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, describe, kinds, names, topics
 from ..functions.text import format_duration, preview
 from ..operators import duplicates
+from ..session import cut
 from ..sources import readers
 
 REVIEW = "Duplicates - Review"
@@ -72,24 +74,35 @@ def built_name() -> Column:
     )
 
 
+NUMBERED = r" \(\d+\)(\.[^.]*)?$"
+
+
 def unique_names(rows: DataFrame, folder: str, name: str, order: list[str], taken: DataFrame | None = None) -> DataFrame:
     """``rows`` with ``claimed``: the name, or "name (2).ext" and so on where an
     earlier row of the folder, or a name in ``taken``, has it in any case.
 
-    Only names with one stem, i.e. without such a number, can clash, so each
-    stem of a folder is settled by itself.
+    Equal names of a folder are numbered by a window.  Only where a name such as
+    "name (2).ext" is there already can a number clash, too; such stems (the
+    names without number and extension) are settled one by one.
     """
-    stem_of = F.lower(F.regexp_replace(name, r"( \(\d+\))*(\.[^.]*)?$", ""))
-    rank = F.row_number().over(Window.partitionBy("_folder", "_stem").orderBy(*order))
-    keyed = rows.withColumns({"_folder": F.lower(folder), "_stem": stem_of, "_id": F.xxhash64(*order, folder, name)}).withColumn("_rank", rank)
-    ask = keyed.select("_folder", "_stem", F.col(name).alias("_name"), F.lit(False).alias("_taken"), "_rank", "_id")
+    stem = F.lower(F.regexp_replace(name, r"( \(\d+\))*(\.[^.]*)?$", ""))
+    keyed = rows.withColumn("_id", F.xxhash64(*order, folder, name))
+    place = [F.lower(folder).alias("_folder"), stem.alias("_stem"), F.col(name).alias("_name")]
+    ask = keyed.select(*place, F.lit(1).alias("_new"), F.struct(*order).alias("_rank"), "_id")
     if taken is not None:
-        old = taken.select(F.lower(folder).alias("_folder"), stem_of.alias("_stem"), F.col(name).alias("_name"), F.lit(True).alias("_taken"), F.lit(0).alias("_rank"), F.lit(0).cast("long").alias("_id"))
+        old = taken.select(*place, F.lit(0).alias("_new"), F.lit(None).cast(ask.schema["_rank"].dataType).alias("_rank"), F.lit(0).cast("long").alias("_id"))
         ask = ask.unionByName(old)
+    same = Window.partitionBy("_folder", "_stem", F.lower("_name")).orderBy("_new", "_rank")
+    ranked = ask.withColumn("_n", F.row_number().over(same))
+    clash = ranked.groupBy("_folder", "_stem").agg(F.max("_n").alias("_most"), F.max(F.col("_name").rlike(NUMBERED)).alias("_numbered"))
+    hard = clash.where("_most > 1 and _numbered").select("_folder", "_stem")
+    number = F.concat(F.lit(" ("), F.col("_n").cast("string"), F.lit(")"))
+    at = F.length("_name") - F.length(F.regexp_extract("_name", r"(?<=.)(\.[^.]*)$", 1))
+    simple = ranked.join(hard, ["_folder", "_stem"], "left_anti").where("_new = 1").select("_id", F.when(F.col("_n") == 1, F.col("_name")).otherwise(F.concat(F.left("_name", at), number, F.expr("substring(_name, length(_name) - length(regexp_extract(_name, '(?<=.)([.][^.]*)$', 1)) + 1)"))).alias("claimed"))
 
     def go(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out, tries = {n.lower() for n in pdf.loc[pdf["_taken"], "_name"]}, [], {}
-        for n, i in pdf[~pdf["_taken"]].sort_values("_rank")[["_name", "_id"]].itertuples(index=False):
+        used, out, tries = {n.lower() for n in pdf.loc[pdf["_new"] == 0, "_name"]}, [], {}
+        for n, i in pdf[pdf["_new"] == 1].sort_values("_at")[["_name", "_id"]].itertuples(index=False):
             base, dot, ext = n.rpartition(".")
             base, ext = (base, dot + ext) if dot and base else (n, "")
             k, candidate = tries.get(n.lower(), 1), n
@@ -101,8 +114,10 @@ def unique_names(rows: DataFrame, folder: str, name: str, order: list[str], take
             out.append((i, candidate))
         return pd.DataFrame(out, columns=["_id", "claimed"])
 
-    claimed = ask.groupBy("_folder", "_stem").applyInPandas(go, "_id long, claimed string")
-    return keyed.join(claimed, "_id").drop("_folder", "_stem", "_rank", "_id")
+    in_order = Window.partitionBy("_folder", "_stem").orderBy("_new", "_rank")
+    tangled = ranked.join(hard, ["_folder", "_stem"], "left_semi").withColumn("_at", F.row_number().over(in_order)).select("_folder", "_stem", "_name", "_new", "_at", "_id")
+    settled = tangled.groupBy("_folder", "_stem").applyInPandas(go, "_id long, claimed string")
+    return keyed.join(simple.unionByName(settled), "_id").drop("_id")
 
 
 def plan(files: DataFrame, rename: bool = True, find_duplicates: bool = True, extra_facts: DataFrame | None = None) -> DataFrame:
@@ -120,6 +135,7 @@ def plan(files: DataFrame, rename: bool = True, find_duplicates: bool = True, ex
         copies = duplicates.extras(known, F.col("rel_path"), F.col("hash"), F.col("length"), order).withColumnRenamed("extra", "rel_path")
     else:
         copies = rows.select("rel_path", F.col("rel_path").alias("kept")).limit(0)
+    copies = cut(copies)
     moved_copies = fresh.drop("content").join(copies, "rel_path")
     facts = readers.facts(fresh.join(copies, "rel_path", "left_anti"))
     for c, kind in (("tags", "array<string>"), ("place", "string"), ("duration_s", "bigint"), ("width", "int"), ("height", "int"), ("album", "string")):
@@ -134,9 +150,10 @@ def plan(files: DataFrame, rename: bool = True, find_duplicates: bool = True, ex
     new = F.when(F.lit(rename) & ~names.is_meaningful(F.col("base")) & (F.col("built") != "") & (F.lower("built") != F.lower("base")), F.col("built"))
     ext = names.extension(F.col("rel_path"))
     facts = facts.withColumns({"renamed": new.isNotNull(), "name": F.coalesce(F.concat(new, F.when(ext == "", "").otherwise(F.concat(F.lit("."), ext))), F.substring_index("rel_path", "/", -1))})
+    facts = cut(facts)
     there = rows.where("organized").select(F.regexp_replace("rel_path", "^[^/]*/|/[^/]*$", "").alias("folder"), F.substring_index("rel_path", "/", -1).alias("name"))
     named = unique_names(facts, "folder", "name", ["rel_path"], there)
-    kept = named.withColumns({"target": F.concat_ws("/", "folder", "claimed"), "duplicate_of": F.lit(None).cast("string")}).drop("claimed", "name", "built")
+    kept = cut(named.withColumns({"target": F.concat_ws("/", "folder", "claimed"), "duplicate_of": F.lit(None).cast("string")}).drop("claimed", "name", "built"))
     where = moved_copies.join(kept.select(F.col("rel_path").alias("kept"), F.col("target").alias("kept_target")), "kept", "left").withColumn("duplicate_of", F.coalesce("kept_target", "kept"))
     # numbers only rank the groups, one row each; the members are joined to them
     numbers = where.select("duplicate_of").distinct().withColumn("n", F.row_number().over(Window.orderBy("duplicate_of")))
