@@ -50,10 +50,3 @@ def keep(df: DataFrame) -> DataFrame:
     """Keep a result that several branches read, spilling to disk; a lost
     executor only means that its part is computed again."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def size_bound(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df`` in bytes (an upper estimate
-    for plans over files, without running anything)."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
