@@ -190,22 +190,24 @@ def _windows(least: int):
 
 
 def _subsets(c: Column) -> Column:
-    """All subsets of an array but the empty one, each as one string with its size in front."""
-    empty = F.array(F.array().cast("array<string>"))
+    """All subsets of an array but the empty one: a hash of each, and the sign it counts with."""
+    empty = F.array(F.array().cast("array<bigint>"))
     every = F.aggregate(c, empty, lambda acc, x: F.concat(acc, F.transform(acc, lambda a: F.concat(a, F.array(x)))))
-    return F.transform(F.filter(every, lambda a: F.size(a) > 0), lambda a: F.struct(F.when(F.size(a) % 2 == 1, 1).otherwise(-1).alias("sign"), F.array_join(a, "\x01").alias("subset")))
+    return F.transform(F.filter(every, lambda a: F.size(a) > 0), lambda a: F.struct(F.when(F.size(a) % 2 == 1, 1).otherwise(-1).alias("sign"), F.xxhash64(a).alias("subset")))
 
 
 def shared_stretches(records: DataFrame, least: int = LEAST) -> DataFrame:
     """(id, start_at, end_at) of the longest stretches of each record covered by
     shared spans; ``records`` has id (long), text and sources (array of strings).
     """
-    rows = records.select("id", "text", F.array_sort(F.array_distinct(F.coalesce("sources", F.array().cast("array<string>")))).alias("sources"))
+    # sources are compared by 64-bit hashes of their names
+    coded = F.array_sort(F.array_distinct(F.transform(F.coalesce("sources", F.array().cast("array<string>")), lambda s: F.xxhash64(s))))
+    rows = records.select("id", "text", coded.alias("sources"))
     spans = pieces(rows, least).groupBy("id").agg(F.collect_list(F.struct("at", "last")).alias("spans"))
     spans = cut(spans)
     one = rows.join(spans, "id").dropDuplicates(["id"])
     where = one.select("id", "text", "spans").mapInArrow(_windows(least), "id long, at int, h1 long, h2 long")
-    sets = rows.join(spans, "id", "left_semi").dropDuplicates(["id"]).select("id", "sources", F.when(F.size("sources") == 0, F.concat(F.lit("\x02"), F.col("id").cast("string"))).otherwise(F.array_join("sources", "\x01")).alias("set_key"))
+    sets = rows.join(spans, "id", "left_semi").dropDuplicates(["id"]).select("id", "sources", F.when(F.size("sources") == 0, F.xxhash64(F.lit("none"), F.col("id"))).otherwise(F.xxhash64("sources")).alias("set_key"))
     runs = cut(where.join(sets, "id"))
     witness = F.struct("set_key", "id", "sources")
     groups = runs.groupBy("h1", "h2").agg(F.min(witness).alias("a"), F.max(witness).alias("b"), F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("first", "last")
