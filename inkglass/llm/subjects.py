@@ -20,13 +20,13 @@ Fixed meaning: null and empty texts have no subject; a document may have none.
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,9 +84,9 @@ SEEDS = {
     "jardín semilla abono invernadero seto césped fertilizante plantón",
 }
 
-WORD = regex.compile(r"\p{L}{3,}")
-UNIT = regex.compile(r"\n+|(?<=[.!?;])\s+")
-ADDRESS = regex.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\w+|\b\w+(?:[-.]\w+)+\.(?:example|com|org|net|test|invalid)\S*|(?:\w+/){2,}\w*")
+WORD = re.compile(r"[^\W\d_]{3,}")
+UNIT = re.compile(r"\n+|(?<=[.!?;])\s+")
+ADDRESS = re.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\w+|\b\w+(?:[-.]\w+)+\.(?:example|com|org|net|test|invalid)\S*|(?:\w+/){2,}\w*")
 #: A word joins a lexicon with at least this many documents of known subject and this share of them in the subject.
 MIN_DOCS, MIN_SHARE, MIN_LEAD = 8, 0.40, 2.0
 #: ... and this many standard deviations above what chance would give.
@@ -94,26 +94,37 @@ MIN_SIGMAS = 5.0
 ROUNDS = 3
 
 
-def _votes(text: str, lexicon: dict[str, int], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[set]]:
-    """Of each subject: units naming it, heading names it, address names it; and the words of each unit."""
-    named, head, address, units = np.zeros(n, np.int32), np.zeros(n, bool), np.zeros(n, bool), []
-    first = True
-    for unit in UNIT.split(text):
-        words = set(WORD.findall(unit.casefold()))
+def _units(text: str) -> list[tuple[str, set[str]]]:
+    """Lines and sentences with their words in small letters."""
+    return [(u, set(WORD.findall(u.casefold()))) for u in UNIT.split(text)]
+
+
+def _named(units: list[tuple[str, set[str]]], lexicon: dict[str, int], n: int) -> np.ndarray:
+    """Of each subject: how many units name it."""
+    named, known = np.zeros(n, np.int32), lexicon.keys()
+    for _, words in units:
+        for s in {lexicon[w] for w in words & known}:
+            named[s] += 1
+    return named
+
+
+def _places(text: str, units: list[tuple[str, set[str]]], lexicon: dict[str, int], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each subject: a heading names it, an address names it."""
+    head, address, known, begun = np.zeros(n, bool), np.zeros(n, bool), lexicon.keys(), 0
+    for unit, words in units:
         if not words:
             continue
-        units.append(words)
-        hit = {lexicon[w] for w in words if w in lexicon}
-        for s in hit:
-            named[s] += 1
-        if hit and (unit.startswith("#") or (first and len(unit) < 90)):
-            head[list(hit)] = True
-        first = len(units) < 2 and len(unit) < 25
-    for found in ADDRESS.findall(text):
-        for w in WORD.findall(found.casefold()):
-            if w in lexicon:
+        # the first short line is a heading; a line of a clock or a greeting may stand before it
+        if unit.startswith("#") or begun == 0 and len(unit) < 90:
+            for w in words & known:
+                head[lexicon[w]] = True
+        if not (begun == 0 and len(unit) < 25):
+            begun = 1
+    if "@" in text or "/" in text or "www." in text or ".example" in text:
+        for found in ADDRESS.findall(text):
+            for w in set(WORD.findall(found.casefold())) & known:
                 address[lexicon[w]] = True
-    return named, head, address, units
+    return head, address
 
 
 def _known(docs: DataFrame, labels: DataFrame, subjects: list[str]) -> DataFrame:
@@ -131,7 +142,7 @@ def _count_words(docs: DataFrame, lexicon: dict[str, int], n: int) -> DataFrame:
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        fold = rewriter(alike)
+        fold, known = rewriter(alike), lexicon.keys()
 
         def out():
             words = list(total)
@@ -141,16 +152,18 @@ def _count_words(docs: DataFrame, lexicon: dict[str, int], n: int) -> DataFrame:
 
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                named, _, _, units = _votes(fold(text), lexicon, n)
+                units = _units(fold(text))
+                named = _named(units, lexicon, n)
+                every = set().union(*(words for _, words in units))
                 # known by two words at least: no word makes itself known
-                seen = Counter(lexicon[w] for w in set().union(*units) if w in lexicon)
+                seen = Counter(lexicon[w] for w in every & known)
                 by = np.array([named[s] >= 2 and seen[s] >= 2 for s in range(n)], np.float64)
                 if label >= 0:
                     by[label] = 1
                 if not by.any():
                     continue
                 row = np.append(by, 1)
-                for w in set().union(*units):
+                for w in every:
                     if w in total:
                         total[w] += row
                     else:
@@ -203,7 +216,10 @@ def _patterns(docs: DataFrame, lexicon: dict[str, int], favoured: dict[str, int]
         for batch in batches:
             ids, subjects, patterns, counts = [], [], [], []
             for i, text, source in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                named, head, address, _ = _votes(fold(text), lexicon, n)
+                text = fold(text)
+                units = _units(text)
+                named = _named(units, lexicon, n)
+                head, address = _places(text, units, lexicon, n)
                 favoured_one = favoured.get(source, -1)
                 for s in np.nonzero((named > 0) | head | address)[0].tolist():
                     ids.append(i)
