@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .functions.kinds import EXTENSIONS, LABELS, VOICE_HINTS, VOICE_ONLY
-from .functions.names import COPY_SUFFIX, GENERIC_WORDS, MACHINE_NAMES, SUFFIX_ROUNDS, VAGUE_WORDS
+from .functions.names import COPY_SUFFIX, GENERIC_WORDS, MACHINE_NAMES, SMALL_WORDS, SUFFIX_ROUNDS, VAGUE_WORDS
+from .functions.titles import JUNK_LINE, LINES, WORDS
+from .functions.topics import HEAD, rules
 from .queries import _LINKS, _OVERLAY, _TURNS, BULLET, CHECK, FIELD, KEYWORD, MISREAD_BULLET, ORDERED, SEARCH
 
 
@@ -40,6 +42,10 @@ _REAL = (
     "(regexp_matches(regexp_replace(lower(w), '[^\\p{L}]', '', 'g'), '[^\\x{00}-\\x{24f}]') OR regexp_matches(lower(w), '[aeiouyàáâãäåèéêëìíîïòóôõöùúûüý]') "
     "AND length(regexp_replace(w, '[^0-9]', '', 'g')) <= length(regexp_replace(lower(w), '[^\\p{L}]', '', 'g'))))"
 )
+_CLEAR = (
+    "coalesce(base <> '' AND NOT (" + " OR ".join(f"regexp_matches(base, {q(p)})" for p in MACHINE_NAMES) + f") AND len(list_filter(rw, lambda w: lower(w) NOT IN {_list(VAGUE_WORDS)})) > 0 "
+    "AND (len(rw) >= 2 OR len(rw) = 1 AND length(rw[1]) >= 4 AND length(regexp_replace(base, '[^\\p{L}]', '', 'g')) >= length(regexp_replace(base, '[^0-9]', '', 'g'))), FALSE)"
+)
 _POINTS = []
 for _t in SEARCH.lower().split():
     _POINTS.append(
@@ -55,6 +61,73 @@ PHONE = r"(?:\+\d{1,3}[\s.-]?)?(?:\(\d{3}\)\s?|\b\d{3}[\s.-])\d{3}[\s.-]\d{4}\b"
 _DETAIL = "SELECT section_id, value, count(DISTINCT block_no)::INT AS sources FROM (SELECT section_id, block_no, lower(trim(unnest(regexp_extract_all(text, {p})))) AS value FROM (SELECT DISTINCT section_id, block_no, block_id, text FROM blocks WHERE text IS NOT NULL)) GROUP BY ALL"
 _BIGRAMS = "CASE WHEN length({c}) >= 2 THEN list_transform(range(1, length({c})), lambda i: substring({c}, i, 2)) ELSE [] END"
 
+_LINE_WORDS = "list_filter(string_split_regex(regexp_replace({x}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '[^\\p{{L}}\\p{{N}}'']+'), lambda w: trim(w, ' ') <> '')"
+
+
+def _first(w: str) -> str:
+    return f"upper(left({w}, 1)) || substring({w}, 2)"
+
+
+def _good_line() -> str:
+    """The first line of a text that reads like a title."""
+    tidy = "trim(trim(trim(trim(regexp_replace(raw, '[\\t ]+', ' ', 'g'), ' '), '•*-#|\"“”:=_'), ' '), ' ')"
+    lettered = "len(list_filter(ws, lambda w: length(regexp_replace(w, '[^\\p{L}]', '', 'g')) >= 2))"
+    odd = "length(regexp_replace(line, '[\\p{L}\\p{N} .,''&\\-()/:!?$€£%+#]', '', 'g'))"
+    good = f"length(line) >= 3 AND NOT regexp_matches(line, {q(JUNK_LINE)}) AND {lettered} > 0 AND NOT ({lettered} = 1 AND (length(ws[1]) < 4 OR length(line) < 4)) AND {odd} * 4 <= length(line)"
+    loud = "length(regexp_replace(s, '[^\\p{L}]', '', 'g')) >= 4 AND NOT regexp_matches(s, '\\p{Ll}')"
+    title = f"array_to_string(list_transform(string_split(lower(s), ' '), lambda w: CASE WHEN w IN {_list(SMALL_WORDS)} THEN w ELSE {_first('w')} END), ' ')"
+    return (
+        f"WITH l AS (SELECT doc_id, string_split_regex(text, '\\r\\n|\\n|\\r')[1:{LINES}] AS ls FROM documents WHERE text IS NOT NULL), "
+        f"e AS (SELECT doc_id, unnest(ls) AS raw, unnest(range(1, len(ls) + 1)) AS k FROM l), t AS (SELECT *, {tidy} AS line FROM e), w AS (SELECT *, {_LINE_WORDS.format(x='line')} AS ws FROM t), "
+        f"g AS (SELECT doc_id, arg_min(line, k) AS line, arg_min(ws, k) AS ws FROM w WHERE {good} GROUP BY doc_id), "
+        f"s AS (SELECT doc_id, rtrim(CASE WHEN len(ws) > {WORDS} THEN rtrim(array_to_string(string_split(line, ' ')[1:{WORDS}], ' '), ',;:-') ELSE line END, '.,;:') AS s FROM g) "
+        f"SELECT d.doc_id, CASE WHEN {loud} THEN {_first('(' + title + ')')} ELSE s END AS title FROM documents d LEFT JOIN s USING (doc_id)"
+    )
+
+
+def _topics() -> str:
+    """Scores of all phrases in all files.  Signs are doubled in texts and phrases,
+    so that two phrases can share the sign between them."""
+    import re
+
+    rows = []
+    for i, (topic, phrases) in enumerate(rules()):
+        for k, (phrase, weight, label, _) in enumerate(phrases):
+            body = r"\s+".join("".join(c if c.isalnum() else re.escape(c) * 2 for c in w) for w in phrase.split())
+            end = r"(?:[^\p{L}\p{N}]|$)" if phrase[-1].isalnum() else ""
+            pattern = r"(?i)(?:^|[^\p{L}\p{N}])" + body + end
+            rows.append(f"({i}, {q(topic)}, {k}, {weight}, {q(label) if label else 'NULL'}, {q(pattern)})")
+    double = "regexp_replace(coalesce({c}, ''), '([^\\p{{L}}\\p{{N}}])', '\\1\\1', 'g')"
+    return (
+        f"WITH r(i, topic, k, weight, label, pat) AS (VALUES {', '.join(rows)}), f AS (SELECT file_id, {double.format(c='title')} AS t, {double.format(c=f'left(text, {HEAD})')} AS x FROM {FILES}), "
+        "m AS (SELECT file_id, i, topic, k, weight, label, regexp_matches(t, pat) AS hit, least(3, len(regexp_extract_all(x, pat))) AS n FROM f, r), "
+        "s AS (SELECT file_id, i, topic, sum(weight * (CASE WHEN hit THEN 3 ELSE 0 END + n)) AS score, count(*) AS clues, arg_max(label, weight * (CASE WHEN hit THEN 10 ELSE 1 END) * 1000 - k) FILTER (label IS NOT NULL) AS label FROM m WHERE hit OR n > 0 GROUP BY file_id, i, topic), "
+        "b AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY score DESC, i) AS rank FROM s WHERE clues >= 2 AND score >= 5 OR score >= 12) SELECT file_id, topic, label, score::INT AS score FROM b WHERE rank = 1"
+    )
+
+
+def _name_dates() -> str:
+    """Moments in names, with a character around instead of a look around."""
+    compact = r"(?:^|[^0-9])((?:19|20)[0-9]{2})(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])(?:[-_ T.]?([01][0-9]|2[0-3])([0-5][0-9])([0-5][0-9])?)?(?:[^0-9]|$)"
+    apart = r"(?:^|[^0-9])((?:19|20)[0-9]{2})[-_.]([01]?[0-9])[-_.]([0-3]?[0-9])(?:[-_ T.at]+([01]?[0-9]|2[0-3])[-_.:h]([0-5][0-9])(?:[-_.:m]([0-5][0-9]))?)?(?:[^0-9]|$)"
+    millis = r"(?:^|[^0-9])(1[3-9][0-9]{11})(?:[^0-9]|$)"
+    fields = "['y', 'm', 'd', 'h', 'i', 's']"
+    part = lambda c: f"TRY_CAST(nullif(p.{c}, '') AS BIGINT)"
+    hour = f"CASE WHEN p.i <> '' THEN {part('h')} ELSE 12 END"
+    rest = lambda c: f"CASE WHEN p.i <> '' AND p.h <> '' THEN coalesce({part(c)}, 0) ELSE 0 END"
+    moment = f"TRY(make_timestamp({part('y')}, {part('m')}, {part('d')}, {hour}, {rest('i')}, ({rest('s')})::DOUBLE))"
+    return (
+        f"WITH n AS (SELECT DISTINCT offer_id, date_text AS t FROM date_offers WHERE date_text IS NOT NULL), p AS (SELECT offer_id, t, CASE WHEN regexp_matches(t, {q(compact)}) THEN regexp_extract(t, {q(compact)}, {fields}) WHEN regexp_matches(t, {q(apart)}) THEN regexp_extract(t, {q(apart)}, {fields}) END AS p, "
+        f"TRY_CAST(nullif(regexp_extract(t, {q(millis)}, 1), '') AS BIGINT) AS ms FROM n), d AS (SELECT offer_id, CASE WHEN p IS NOT NULL THEN CASE WHEN {part('y')} >= 1990 AND ({moment})::DATE <= current_date + 1 THEN {moment} END "
+        "WHEN year(epoch_ms(ms)) BETWEEN 2010 AND year(current_date) THEN epoch_ms(ms) END AS moment FROM p) SELECT offer_id, moment::TIMESTAMP AS moment FROM d WHERE moment IS NOT NULL"
+    )
+
+
+_INDEX_BITS = (
+    "list_filter([nullif(split_part(date, ' ', 1), ''), nullif(description, ''), CASE WHEN preview <> '' THEN '\"' || left(preview, 80) || '\"' END, "
+    "CASE WHEN original_path <> '' AND regexp_extract(original_path, '[^/]*$') <> name THEN 'was ' || regexp_extract(original_path, '[^/]*$') END], lambda b: b IS NOT NULL)"
+)
+
 SQL = {
     "dup_groups": "SELECT sha256(text) AS hash, count(*) AS copies, min(doc_id) AS kept, (sum(length(text)) - max(length(text)))::BIGINT AS wasted FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1",
     "dup_extras": "SELECT d.doc_id AS extra, k.kept FROM documents d JOIN (SELECT text, min(doc_id) AS kept FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1) k ON d.text = k.text WHERE d.doc_id <> k.kept",
@@ -77,8 +150,9 @@ SQL = {
     "keyword_dedup": f"WITH h AS (SELECT DISTINCT section_id, block_no, text FROM blocks WHERE text IS NOT NULL AND regexp_matches(text, '(?i)the')), n AS (SELECT section_id, block_no, {_NORM % 'text'} AS norm FROM h) SELECT section_id, block_no FROM n l WHERE NOT EXISTS (SELECT 1 FROM n e WHERE e.section_id = l.section_id AND e.block_no < l.block_no AND contains(e.norm, l.norm))",
     "kind_counts": f"WITH e AS (SELECT *, {_EXT} AS xt, lower(rel_path) AS low FROM {FILES}), p AS (SELECT *, {_PLAIN} AS plain FROM e), k AS (SELECT CASE WHEN plain = 'PHOTO' AND regexp_matches(low, 'screenshot|screen_shot|screen shot') THEN 'SCREENSHOT' "
     f"WHEN plain = 'MUSIC' AND (xt IN {_list(VOICE_ONLY)} OR len(list_filter(string_split(low, '/'), lambda x: regexp_matches(x, {q(VOICE_HINTS)}))) > 0) THEN 'VOICE_RECORDING' ELSE plain END AS kind FROM p) SELECT kind, {_LABEL} AS label, count(*) AS files FROM k GROUP BY ALL",
-    "name_meaningful": f"WITH b AS (SELECT file_id, {_strip('title')} AS base FROM {FILES} WHERE title IS NOT NULL), r AS (SELECT *, {_REAL} AS rw FROM b) SELECT file_id, coalesce(base <> '' AND NOT (" + " OR ".join(f"regexp_matches(base, {q(p)})" for p in MACHINE_NAMES)
-    + f") AND len(list_filter(rw, lambda w: lower(w) NOT IN {_list(VAGUE_WORDS)})) > 0 AND (len(rw) >= 2 OR len(rw) = 1 AND length(rw[1]) >= 4 AND length(regexp_replace(base, '[^\\p{{L}}]', '', 'g')) >= length(regexp_replace(base, '[^0-9]', '', 'g'))), FALSE) AS clear FROM r",
+    "name_meaningful": f"WITH b AS (SELECT file_id, {_strip('title')} AS base FROM {FILES} WHERE title IS NOT NULL), r AS (SELECT *, {_REAL} AS rw FROM b) SELECT file_id, {_CLEAR} AS clear FROM r",
+    "dup_files": f"WITH b AS (SELECT file_id, title, modified, rel_path || '#' || file_id AS g, base AS own, {_strip('base')} AS base FROM {FILES} WHERE title <> ''), r AS (SELECT *, {_REAL} AS rw FROM b), "
+    f"o AS (SELECT *, {{'c': (NOT {_CLEAR})::INT, 'd': (base <> own)::INT, 'e': modified, 'f': length(g) - length(replace(g, '/', '')), 'g': g}} AS ord FROM r) SELECT sha256(title) AS hash, count(*) AS copies, arg_min(file_id, ord) AS kept, ((count(*) - 1) * length(title))::BIGINT AS wasted FROM o GROUP BY title HAVING count(*) > 1",
     "best_date": "SELECT file_id, arg_min(date_text, date_source * 1000000000000 + offer_id) AS date_text, min(date_source) AS date_source FROM (SELECT DISTINCT offer_id, file_id, date_text, date_source FROM date_offers WHERE date_text <> '') GROUP BY file_id",
     "file_descriptions": f"SELECT file_id, array_to_string(list_filter(list_concat([coalesce(doc_label, {_LABEL}), CASE WHEN pages = 1 THEN '1 page' ELSE pages || ' pages' END, width || '×' || height, CASE WHEN len(tags) > 0 THEN 'shows: ' || array_to_string(tags, ', ') END, 'taken in ' || place], coalesce(details, [])), lambda x: x IS NOT NULL), ' · ') AS about FROM {FILES}",
     "folder_counts": f"SELECT split_part(rel_path, '/', 1) AS folder, count(*) AS files FROM {FILES} GROUP BY ALL",
@@ -104,4 +178,8 @@ SQL = {
     "chat_bubbles": f"WITH t(seq, who, words) AS (VALUES {', '.join(f'({s}, {q(w)}, {q(x)})' for s, w, x in _TURNS)}), n AS (SELECT *, CASE WHEN who = lag(who) OVER (ORDER BY seq) THEN 0 ELSE 1 END AS new FROM t), b AS (SELECT *, sum(new) OVER (ORDER BY seq)::BIGINT AS bubble FROM n) SELECT bubble, who, string_agg(words, ' ' ORDER BY seq) AS said FROM b GROUP BY bubble, who",
     "markup_roundtrip": "SELECT DISTINCT section_id, TRUE AS same FROM sections WHERE text IS NOT NULL",
     "sanitized": "WITH s AS (SELECT item_id, trim(trim(regexp_replace(regexp_replace(text, '[\\\\/:*?\"<>|\\x{0}-\\x{1f}\\x{7f}-\\x{a0}]', ' ', 'g'), '\\s+', ' ', 'g')), '. -_,') AS s FROM benchmark), h AS (SELECT *, left(s, 60) AS h FROM s), b AS (SELECT *, length(h) - strpos(reverse(h), ' ') AS blank FROM h) SELECT item_id, CASE WHEN length(s) <= 60 THEN s ELSE trim(CASE WHEN contains(h, ' ') AND blank > 30 THEN left(h, blank) ELSE h END, '. -_,') END AS name FROM b",
+    "first_good_lines": _good_line(),
+    "topic_classify": _topics(),
+    "file_name_dates": _name_dates(),
+    "index_lines": f"WITH c AS (SELECT *, regexp_extract(path, '[^/]*$') AS name FROM {CATALOG}), b AS (SELECT *, {_INDEX_BITS} AS bits FROM c) SELECT regexp_replace(path, '/[^/]*$', '') AS folder, name, '• ' || name || CASE WHEN len(bits) > 0 THEN '  (' || array_to_string(bits, ' · ') || ')' ELSE '' END AS line FROM b",
 }

@@ -100,3 +100,11 @@ def test_titles(spark):
 def test_describe(spark):
     got = one(spark, describe.describe({"kind": F.lit("PDF"), "pages": F.lit(2), "width": F.lit(3), "height": F.lit(4), "tags": F.array(F.lit("Dog")), "details": F.array(F.lit("x"))}))
     assert got == "PDF · 2 pages · 3×4 · shows: Dog · x"
+
+
+def test_sql_functions(spark):
+    from inkglass.functions import sql
+
+    assert len(sql.register(spark)) == len(sql.FUNCTIONS)
+    row = spark.sql("SELECT ink_normalize('A-b 1') AS a, ink_word_count(' x  y ') AS b, ink_format_size(1536) AS c, size(ink_bigrams('night')) AS d, ink_md_escape('a*b') AS e, ink_alnum_count('é1-') AS f").first()
+    assert tuple(row) == ("ab1", 2, "2 KB", 4, "a\\*b", 2)
