@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -33,17 +35,39 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there.
+_SWEPT: set[str] = set()
+
+
+def _folder(spark: SparkSession) -> str:
+    """The folder for written intermediate tables of this application, removed when it ends."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    folder = f"{(named or os.path.join(tempfile.gettempdir(), 'inkglass-tables')).rstrip('/')}/tables-{sc.applicationId}"
+    if folder not in _SWEPT:
+        _SWEPT.add(folder)
+        atexit.register(_sweep, spark, folder)
+    return folder
+
+
+def _sweep(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - the engine has ended before
+        pass
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table to the shared folder and read it from there.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only
     where that is unset (tests) a temporary folder of this machine is used.
+    What is read does not depend on executors, is compressed, and its plan is
+    one scan, however it was made.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "inkglass-checkpoints"))
-    return df.checkpoint(eager=eager)
+    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def keep(df: DataFrame) -> DataFrame:
