@@ -9,7 +9,7 @@ stands beside in the whole corpus, in bits (pointwise mutual information):
   words that keep company with them;
 * names - words that are never written small, and stand beside given names:
   a given name is one of a short list or a word that goes with several of the
-  family names that those go with;
+  family names that those go with; initials may stand between the two;
 * addresses and e-mail addresses disclose themselves by their form.
 
 Mentions above the threshold become typed placeholders.
@@ -76,8 +76,8 @@ _DIGIT_RUNS = re.compile(r"(?:[+(]|[A-Z]{1,3} ?)?\d[\dA-Z ().\-/]{4,}|[A-Z][A-Z\
 _HOUSE_NUMBERS = re.compile(r"(?<![\w.,:/-])\d{1,4}[a-zA-Z]?(?![\w.:/-])")
 _CAPITALS = re.compile("[A-Z\u00c0-\u00de\u0100-\u03ff\u0400-\u042f][\\w'’-]+,?[ \n](?=[A-Z\u00c0-\u00de\u0100-\u03ff\u0400-\u042f])")
 _WORDS = regex.compile(r"\p{L}[\p{L}'’]*")
-#: A possible name: two capitalised words, the second perhaps double or both the other way round with a comma.
-_PAIRS = regex.compile(r"(?<![\p{L}\p{N}@.+_-])(\p{Lu}[\p{L}'’]+(?:-\p{Lu}[\p{L}'’]+)?)(,?[ \n])(?=(\p{Lu}[\p{L}'’]+(?:-\p{Lu}[\p{L}'’]+)?)(?![\p{L}\p{N}@_]))")
+#: A possible name: two capitalised words, the second perhaps double or both the other way round with a comma, or with initials between.
+_PAIRS = regex.compile(r"(?<![\p{L}\p{N}@.+_-])(\p{Lu}[\p{L}'’]+(?:-\p{Lu}[\p{L}'’]+)?)(,?[ \n]|[ \n](?:\p{Lu}(?:\.[ \n-]?|[ \n]))+(?<=[ \n]))(?=(\p{Lu}[\p{L}'’]+(?:-\p{Lu}[\p{L}'’]+)?)(?![\p{L}\p{N}@_]))")
 #: Bits of evidence from which a number counts as a mention.
 THRESHOLD = 1.0
 #: A word that is written small more often than this share of its standing in pairs of capitalised words is no name.

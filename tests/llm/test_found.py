@@ -155,6 +155,17 @@ def test_mentions(spark):
     assert personal.mentions(df.limit(0)).count() == 0
 
 
+def test_names_with_initials(spark):
+    filler = ["Ask Anna Eldlunde about it.", "Ask Anna Pelodal about it."] * 4
+    texts = ["Photo by Samuel M. Pelodal", "Ask Márta A. Molghast", "Greta K. J. Fenkamp signed.", "Ask Samuel M.\nPelodal now", "Shelf Plan B. Pelodal is here"]
+    df = spark.createDataFrame([("file", i, t) for i, t in enumerate(texts + filler)], "src string, rec_id long, text string")
+    found = personal.mentions(df).persist()
+    got = {(r.rec_id, r.kind, r.start_at, r.end_at) for r in found.collect() if r.rec_id < len(texts)}
+    assert got == {(0, "name", 9, 26), (1, "name", 4, 21), (2, "name", 0, 19), (3, "name", 4, 21)}
+    clean = {r.rec_id: r.clean for r in personal.sanitised(df, found).collect()}
+    assert clean[0] == "Photo by [name]" and clean[2] == "[name] signed." and clean[4] == texts[4]
+
+
 # ---- 5: look-alikes
 
 
