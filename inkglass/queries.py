@@ -320,11 +320,11 @@ def scroll_components(spark, d):
 
 
 def _as_pages(spark, d):
-    """Recognised lines of the first pages of every file as pages of a document each, 8 pages together."""
+    """Recognised lines of all pages of every file, a file being one document."""
     rows = table(spark, d, "ocr_line", "line_id", "file_id", "page", "block", "para", "line_no", "text", "confidence", "bbox", "img_w", "img_h").dropDuplicates(["line_id"])
     word = F.struct(F.col("text").alias("text"), F.col("confidence").alias("confidence"), F.col("bbox").alias("bbox"), F.array().cast("array<struct<text:string,bbox:struct<x0:double,y0:double,x1:double,y1:double>>>").alias("symbols"))
     line = F.struct(F.coalesce("line_no", F.lit(0)).alias("no"), F.coalesce("block", F.lit(0)).alias("block"), F.coalesce("para", F.lit(0)).alias("para"), "text", "confidence", "bbox", F.array(word).alias("words"))
-    doc = F.concat_ws("-", F.col("file_id").cast("string"), F.floor(F.col("page") / 8).cast("string"))
+    doc = F.col("file_id").cast("string")
     out = rows.groupBy(doc.alias("doc"), "page").agg(F.concat(F.lit("page "), F.max("page").cast("string")).alias("file_name"), F.max("img_w").alias("img_w"), F.max("img_h").alias("img_h"), F.array_sort(F.collect_list(line)).alias("lines"))
     return out.withColumn("lines", F.transform("lines", lambda x: x.dropFields("no")))
 

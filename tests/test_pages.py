@@ -138,3 +138,42 @@ def test_details_document():
     doc = blocks.extract_details([p], kinds=("links",), keywords=("words",))
     assert doc["sections"][0]["blocks"][0]["items"] == [{"text": "naca.com  (found in: reel.png)"}]
     assert doc["sections"][1]["title"] == 'Mentions of "words"' and len(doc["sections"][1]["blocks"][0]["items"]) == 1
+
+
+def test_files_are_whole_documents(spark, tmp_path):
+    """A page that goes on over the eighth page is one section of one document."""
+    from inkglass import queries
+
+    shared = [f"shared sentence number {w} of the long page" for w in ("one", "two", "three", "four")]
+    rows = []
+    for p in range(1, 12):
+        texts = [f"{chr(96 + p) * 3}{k} {chr(97 + p) * 9} own words of this page" for k in range(6)]
+        texts = texts + shared if p == 7 else shared + texts if p == 8 else texts
+        for k, t in enumerate(texts):
+            rows.append((100 * p + k, 5, p, 0, 0, k, t, 90.0, (40.0, 200.0 + 60 * k, 900.0, 240.0 + 60 * k), 1240, 1754))
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    df = spark.createDataFrame(rows, f"line_id long, file_id long, page int, block int, para int, line_no int, text string, confidence double, bbox {box}, img_w int, img_h int")
+    df.write.parquet(f"{tmp_path}/ocr_line.parquet")
+    (row,) = queries.organized_documents(spark, str(tmp_path)).collect()
+    doc = json.loads(row.json)
+    assert row.doc == "5" and doc["screenshots"] == 11
+    together = next(s for s in doc["sections"] if "page 8" in s["source_files"])
+    assert together["source_files"] == ["page 7", "page 8"] and together["removed_lines"] == 4
+
+
+def test_near_texts_like_brute_force():
+    import random
+
+    from inkglass.operators.pages import alike, near_texts
+
+    rnd = random.Random(4)
+    norms = {"".join(rnd.choice("abcde") for _ in range(rnd.randint(2, 70))) for _ in range(60)}
+    for s in list(norms):
+        for _ in range(4):
+            t = list(s)
+            for _ in range(rnd.randint(1, 3)):
+                t[rnd.randrange(len(t))] = rnd.choice(["a", "b", "", "cc"])
+            norms.add("".join(t))
+    near = near_texts(sorted(norms))
+    want = {(a, b) for a in norms for b in norms if a != b and abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and alike(a, b) >= 0.92}
+    assert {(a, b) for a in near for b in near[a]} == want and len(want) > 50
