@@ -8,9 +8,17 @@ all rows may be copies of one.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from hashlib import blake2b
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .pages import alike
+
 QUICK = 64 * 1024
 
 
@@ -58,3 +66,70 @@ def keeper_order(name: Column, modified: Column, path: Column, organized: Column
         F.when(organized, zero).otherwise((~is_meaningful(name)).cast("int")).alias("c"), F.when(organized, zero).otherwise((strip_copy_suffix(name) != name).cast("int")).alias("d"),
         F.when(~organized, modified).alias("e"), F.when(organized, zero).otherwise(depth).alias("f"), path.alias("g"),
     )
+
+
+def near_pairs(rows: DataFrame, least: float = 0.92, length: float = 0.2) -> DataFrame:
+    """(kept, other, dice) of texts that are equal or alike; ``rows`` has id and norm.
+
+    Equal texts come first: each is paired with the least id of its group, and
+    that one stands for the group in the pairs of different texts, so that large
+    groups make as many rows as they have members.  Different texts are found
+    exactly: bags of together n pairs of characters that are alike by ``least``
+    differ in at most (1 - least) * n, so of more parts than that, into which
+    all kinds of pairs are dealt, one at least is the same in both.
+    """
+    whole = cut(rows.where("norm <> ''").groupBy("norm").agg(F.min("id").alias("kept")))
+    equal = rows.join(whole, "norm").where("id <> kept").select("kept", F.col("id").alias("other"), F.lit(1.0).alias("dice"))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, s in zip(batch.column(0), batch.column(1).to_pylist()):
+                keys, sign = _keys(s, least)
+                n = len(keys)
+                yield pa.RecordBatch.from_arrays([pa.array([i.as_py()] * n, i.type), pa.array([len(s)] * n, pa.int32()), pa.array([sign] * n, pa.int64()), pa.array([m for m, _ in keys], pa.int32()), pa.array([k for _, k in keys], pa.int64())], ["kept", "size", "sign", "parts", "part"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dice = [alike(a, b, least) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dice, pa.float64())], ["kept", "other", "dice"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    keys = cut(whole.where("length(norm) >= 2").select("kept", "norm").mapInArrow(blocks, f"kept {kind}, size int, sign long, parts int, part long"))
+    total = F.col("size") + F.col("n") - 2
+    near = F.abs(F.col("size") - F.col("n")) <= F.greatest("size", "n") * length
+    other = keys.withColumnsRenamed({"kept": "other", "size": "n", "sign": "sign_2"})
+    # a pair of characters that only one of them has changes one bit at most
+    near &= F.bit_count(F.col("sign").bitwiseXOR(F.col("sign_2"))) <= total * (1 - least) + 1e-6
+    met = keys.join(other, ["parts", "part"]).where((F.col("kept") < F.col("other")) & near & (F.greatest("size", "n") - 1 <= total * (1 - least / 2) + 1e-6)).select("kept", "other").distinct()
+    texts = met.join(whole.select("kept", F.col("norm").alias("a")), "kept").join(whole.select(F.col("kept").alias("other"), F.col("norm").alias("b")), "other").select("kept", "other", "a", "b")
+    alike_ones = texts.mapInArrow(compare, f"kept {kind}, other {kind}, dice double").where(F.col("dice") >= least)
+    return equal.unionByName(alike_ones)
+
+
+def _ladder(n: int) -> int:
+    """The numbers of parts in use: a few for each size, so that long texts have few keys."""
+    m = 1
+    while m < n:
+        m = max(m + 1, m * 9 // 8)
+    return m
+
+
+def _keys(s: str, least: float) -> tuple[list[tuple[int, int]], int]:
+    """(number of parts, key of one part) for all numbers of parts that a text alike to this one can share,
+    and a sign of 64 bits, each the parity of some of its pairs of characters."""
+    size, seen, kinds, out, sign = len(s) - 1, Counter(), [], [], 0
+    for i in range(size):
+        g = s[i : i + 2]
+        kinds.append(int.from_bytes(blake2b(f"{g}{seen[g]}".encode(), digest_size=7).digest()))  # the second of a kind is another than the first
+        sign ^= 1 << kinds[-1] // 1_000_003 % 64
+        seen[g] += 1
+    first, last = (_ladder(int((1 - least) * (size + n) + 1e-6) + 1) for n in (int(size * least / (2 - least)), int(size * (2 - least) / least) + 1))
+    m = first
+    while m <= last:
+        parts: dict[int, list[int]] = {k: [] for k in range(m)}
+        for h in kinds:
+            parts[h % m].append(h)
+        for k, part in parts.items():
+            out.append((m, int.from_bytes(blake2b(repr((k, sorted(part))).encode(), digest_size=8).digest(), signed=True)))
+        m = max(m + 1, m * 9 // 8)
+    return out, sign - (1 << 64) if sign >> 63 else sign

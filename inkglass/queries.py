@@ -49,6 +49,12 @@ def dup_files(spark, d):
     return duplicates.groups(rows, F.col("file_id"), F.sha2("title", 256), F.length("title").cast("long"), order)
 
 
+def dup_near_pairs(spark, d):
+    """Documents whose whole first lines are equal or nearly so, over the whole table; lines without letters or digits say nothing."""
+    rows = table(spark, d, "documents", "doc_id", "text").where("text is not null").distinct()
+    return duplicates.near_pairs(rows.select(F.col("doc_id").alias("id"), text.normalize(F.substring_index("text", "\n", 1)).alias("norm")))
+
+
 # ---- text scalars
 
 
@@ -82,6 +88,13 @@ def similar_neighbours(spark, d):
     return a.join(b, "section_id").select("section_id", F.round(text.similarity(F.col("a"), F.col("b")), 6).alias("dice"))
 
 
+def similar_whole_titles(spark, d):
+    """As :func:`similar_neighbours`, whose SQL compares the first 40 characters, with titles of any length."""
+    rows = table(spark, d, "sections", "section_id", "title").where("title is not null").distinct()
+    a, b = rows.select("section_id", text.normalize(F.col("title")).alias("a")), rows.select((F.col("section_id") - 1).alias("section_id"), text.normalize(F.col("title")).alias("b"))
+    return a.join(b, "section_id").select("section_id", F.round(text.similarity(F.col("a"), F.col("b")), 6).alias("dice"))
+
+
 def natural_order(spark, d):
     return _files(spark, d, "rel_path").select("file_id", text.natural_key(F.substring_index("rel_path", "/", -1)).alias("sort_key"))
 

@@ -108,3 +108,34 @@ def test_sql_functions(spark):
     assert len(sql.register(spark)) == len(sql.FUNCTIONS)
     row = spark.sql("SELECT ink_normalize('A-b 1') AS a, ink_word_count(' x  y ') AS b, ink_format_size(1536) AS c, size(ink_bigrams('night')) AS d, ink_md_escape('a*b') AS e, ink_alnum_count('é1-') AS f").first()
     assert tuple(row) == ("ab1", 2, "2 KB", 4, "a\\*b", 2)
+
+
+def test_near_pairs_like_brute_force(spark):
+    import random
+
+    from inkglass.operators import duplicates
+    from inkglass.operators.pages import alike
+
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choice("abcdef") for _ in range(rnd.choice([1, 2, 5, 12, 25, 60, 300]))) for _ in range(40)]
+    for s in texts[:40]:
+        t = list(s)
+        for _ in range(rnd.randint(1, max(1, len(s) // 30))):
+            t[rnd.randrange(len(t))] = rnd.choice(["a", "xy", ""])
+        texts.append("".join(t))
+    texts += [*texts[:5], "", ""]
+    first: dict = {}
+    for i, s in enumerate(texts):
+        first.setdefault(s, i)
+    want = {(first[s], i) for i, s in enumerate(texts) if s and first[s] != i}
+    want |= {(i, k) for a, i in first.items() for b, k in first.items() if a and i < k and abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and alike(a, b) >= 0.92}
+    got = duplicates.near_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, norm string")).collect()
+    assert {(r.kept, r.other) for r in got} == want and len(got) == len(want) > 20
+
+
+def test_whole_titles_are_compared(spark, tmp_path):
+    from inkglass import queries
+
+    same = "the same forty characters and more stand at the beginning of both "
+    spark.createDataFrame([(1, same + "apples"), (2, same + "violin")], "section_id long, title string").write.parquet(f"{tmp_path}/sections.parquet")
+    assert queries.similar_whole_titles(spark, str(tmp_path)).first().dice < 1
