@@ -9,7 +9,7 @@ from .functions import describe, detectors, kinds, names, text, titles, topics
 from .functions.markup import parse_markup, to_markup
 from .operators import catalog, documents, duplicates, pages, timestamps
 from .plans import planner
-from .session import table
+from .session import cut, table
 from .sinks import indexes, render
 
 KEYWORD = "reading room"
@@ -63,6 +63,16 @@ def norm_text(spark, d):
     return table(spark, d, "benchmark", "item_id", "text").select("item_id", text.normalize(t).alias("norm"), text.alnum_count(t).alias("alnum"), text.word_count(t).alias("words"))
 
 
+def document_scalars(spark, d):
+    """What norm_text, escapes and sanitized give for the items, for the texts of all documents."""
+    t = F.col("text")
+    rows = table(spark, d, "documents", "doc_id", "text")
+    return rows.select(
+        "doc_id", text.normalize(t).alias("norm"), text.alnum_count(t).alias("alnum"), text.word_count(t).alias("words"), text.md_escape(t).alias("md"), text.html_escape(t).alias("html"), text.slug(t, F.col("doc_id")).alias("slug"),
+        text.safe_file_name(t, "md").alias("file_name"), text.field_unescape(text.field_escape(t)).alias("back"), names.sanitize(t, 60).alias("name"),
+    )
+
+
 def clean_titles(spark, d):
     return _files(spark, d, "title").where("title is not null").select("file_id", text.clean_text(F.col("title")).alias("clean"))
 
@@ -327,6 +337,11 @@ def overlay_words(spark, d):
     return pages.overlay_words(rows).select("page", "word")
 
 
+def page_overlay_words(spark, d):
+    """The band join of overlay_words over the recognised lines of all files, a line being one word."""
+    return pages.overlay_words(cut(pages.words_of(_as_pages(spark, d))))
+
+
 def scroll_components(spark, d):
     nodes = spark.range(1, 11).withColumnRenamed("id", "node")
     return pages.link_components(nodes, spark.createDataFrame(_LINKS, "i long, j long"))
@@ -375,7 +390,7 @@ def markup_roundtrip(spark, d):
 
 
 def queries() -> dict:
-    skip = {"queries", "oracle_sql", "table"}
+    skip = {"queries", "oracle_sql", "table", "cut"}
     return {k: f for k, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and k[0] != "_" and k not in skip}
 
 

@@ -177,3 +177,26 @@ def test_near_texts_like_brute_force():
     near = near_texts(sorted(norms))
     want = {(a, b) for a in norms for b in norms if a != b and abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and alike(a, b) >= 0.92}
     assert {(a, b) for a in near for b in near[a]} == want and len(want) > 50
+
+
+def test_overlay_words_of_tables(spark, tmp_path):
+    from inkglass import queries
+
+    rows = []
+    for file in (1, 2):
+        for p in (1, 2, 3):
+            texts = [(500.0, 100.0 + p, "follow")] + [(60.0, 300.0 + 200 * k, f"own {'abcdefgh'[4 * file - 4 + k]}{'xyz'[p - 1]}") for k in range(4)]
+            rows += [(100 * file + 10 * p + k, file, p, 0, 0, k, t, 90.0, (x, y, x + 20, y + 20), 1080, 2400) for k, (x, y, t) in enumerate(texts)]
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    df = spark.createDataFrame(rows, f"line_id long, file_id long, page int, block int, para int, line_no int, text string, confidence double, bbox {box}, img_w int, img_h int")
+    df.write.parquet(f"{tmp_path}/ocr_line.parquet")
+    got = {(r.doc, r.page, r.line, r.word) for r in queries.page_overlay_words(spark, str(tmp_path)).collect()}
+    assert got == {(f, p, 0, 0) for f in ("1", "2") for p in (1, 2, 3)}
+
+
+def test_scalars_of_documents(spark, tmp_path):
+    from inkglass import queries
+
+    spark.createDataFrame([(7, "A <b> & *c*"), (8, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.document_scalars(spark, str(tmp_path)).collect()}
+    assert set(got) == {7, 8} and got[7].norm == "abc" and got[7].alnum == 3 and got[7].html == "A &lt;b&gt; &amp; *c*" and got[7].slug.startswith("sec-8-")
