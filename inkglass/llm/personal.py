@@ -212,12 +212,15 @@ def disclosure(candidates: DataFrame) -> dict[str, dict[str, float]]:
 def judge_numbers(candidates: DataFrame) -> DataFrame:
     bits = disclosure(candidates)
     cues = frozenset(w for words in CUES.values() for w in words.split())
-    phone_shape = regex.compile(r"^(?:\+|\(9|00|99999 999999$|9{11}$|99 99 99 99 99$|999[-.]999[-.]9999$|9[ .-]999[ .-]999[ .-]9999$|9999 9 99)")
+    phone_shape = regex.compile(r"^(?:\+|\(9|99999 999999$|9{11}$|99 99 99 99 99$|999[-.]999[-.]9999$|9[ .-]999[ .-]999[ .-]9999$|9999 9 99)")
+
+    # forms that their digits tell, which the shape no longer has
+    phone_text = regex.compile(r"00(?:33|34|44|49)[\d ()./-]+|0\d{2,4}/\d{5,8}|0\d(?:\.\d{2}){4}")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds = []
-            for terms in batch.column(4).to_pylist():
+            for terms, surface in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
                 score = dict.fromkeys(CUES, 0.0)
                 if any(t[0] == "<" and t[1:] in cues for t in terms):
                     # a word that says what follows leaves nothing to the text behind
@@ -225,7 +228,7 @@ def judge_numbers(candidates: DataFrame) -> DataFrame:
                 for t in terms:
                     for k, w in bits.get(t, {}).items():
                         score[k] += w
-                if phone_shape.match(terms[0][1:]):
+                if phone_shape.match(terms[0][1:]) or phone_text.fullmatch(surface):
                     score["phone"] += 4
                     score["id_number"] -= 4
                 else:
@@ -235,7 +238,7 @@ def judge_numbers(candidates: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kinds, pa.string()), batch.column(2), batch.column(3)], ["src", "rec_id", "kind", "start_at", "end_at"])
 
     kind = candidates.schema["rec_id"].dataType.simpleString()
-    numbers = candidates.where("kind = 'number'").select("src", "rec_id", "start_at", "end_at", "terms")
+    numbers = candidates.where("kind = 'number'").select("src", "rec_id", "start_at", "end_at", "terms", "surface")
     return numbers.mapInArrow(go, f"src string, rec_id {kind}, kind string, start_at int, end_at int").where("kind is not null")
 
 

@@ -166,6 +166,12 @@ def test_names_with_initials(spark):
     assert clean[0] == "Photo by [name]" and clean[2] == "[name] signed." and clean[4] == texts[4]
 
 
+def test_phones_without_cue(spark):
+    texts = ["It is 0049 30 1234567 there.", "It is 030/1234567 there.", "It is 01.23.45.67.89 there.", "Order no. 030/7654321 was packed.", "It is 00331234A there."]
+    df = spark.createDataFrame([("file", i, t) for i, t in enumerate(texts + ["Order no. 111-22-3333 was packed."] * 4)], "src string, rec_id long, text string")
+    assert {(r.rec_id, r.kind, r.start_at) for r in personal.mentions(df).collect()} == {(i, "phone", 6) for i in range(3)}
+
+
 # ---- 5: look-alikes
 
 
