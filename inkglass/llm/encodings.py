@@ -6,9 +6,10 @@ tokens of the corpus are hash-joined to the garbled forms.  A hit is verified:
 the original must be the likelier of the two, by how odd its letters sit
 together and by how often the corpus has it.
 
-Clean words that the corpus only has garbled are won from chains through
-UTF-8, which prove themselves (hardly any other text is well-formed UTF-8 when
-read back); they join the clean words and are garbled again under all chains.
+Words that the corpus only has garbled: single characters are garbled under the
+chains through UTF-8 in the same way, and a token all of whose odd places are
+garbled characters of one chain is that chain's text.  Words restored so are
+garbled and joined in their turn, but never count as words the corpus has.
 
 Fixed meaning: null and empty fields are no case; a field with U+FFFD, which
 stands for bytes that could not be decoded, is a case without an original.
@@ -17,7 +18,7 @@ stands for bytes that could not be decoded, is a case without an original.
 from __future__ import annotations
 
 import unicodedata as U
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -25,10 +26,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import keep
+
 # Encodings that texts are written in, and read in by mistake.
 SINGLE = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "cp437", "cp850", "cp866", "koi8_r", "mac_roman", "mac_cyrillic", "iso8859_2", "iso8859_5", "iso8859_7", "iso8859_15")
 TOKEN = regex.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
 REPLACED = "�"
+#: Characters that are garbled one by one: letters and marks of the alphabets of Europe, besides those the corpus has.
+ALPHABETS = tuple(c for a, b in ((0xA0, 0x250), (0x370, 0x530), (0x1E00, 0x2000), (0x2010, 0x2040), (0x20A0, 0x20C0)) for c in map(chr, range(a, b)) if U.category(c)[0] in "LPSZ")
 
 
 @cache
@@ -67,10 +72,9 @@ def garbled_forms(word: str) -> dict[str, tuple[str, int]]:
         once = _read(raw, name)
         out.setdefault(once, (f"utf-8>{name}", 1))
         out.setdefault(_read(raw, name, True), (f"utf-8>{name}", 1))
-        if name in ("cp1252", "latin-1", "cp1250", "mac_roman", "cp437", "cp850"):
-            for second in (name, "cp1252"):
-                twice = _read(once.encode("utf-8", "surrogatepass"), second)
-                out.setdefault(twice, (f"utf-8>{name}>utf-8>{second}", 1))
+        for second in (name, "cp1252"):
+            twice = _read(once.encode("utf-8", "surrogatepass"), second)
+            out.setdefault(twice, (f"utf-8>{name}>utf-8>{second}", 1))
     for own in SINGLE:
         data = _written(word, own)
         if data is None:
@@ -108,25 +112,39 @@ def oddness(word: str) -> int:
     return odd
 
 
-def proven_original(token: str) -> str | None:
-    """The text of a token that is UTF-8 read as another encoding, once or twice over, or None."""
-    best = token
-    for _ in range(2):
-        step = None
-        for name in SINGLE:
-            data = _written(best, name)
-            if data is None or data.isascii():
-                continue
-            try:
-                text = data.decode("utf-8")
-            except UnicodeDecodeError:
+def character_forms(letters: Iterable[str]) -> list[tuple[dict[str, str], int]]:
+    """Of each chain through UTF-8, once or twice over: garbled forms of the
+    characters, and the length of the longest form."""
+    tables = []
+    letters = sorted({v for c in (*letters, *ALPHABETS) for v in (c, c.upper(), c.lower()) if len(v) == 1 and v >= "\x80"})
+    for name in SINGLE:
+        once = {c: _read(c.encode("utf-8", "surrogatepass"), name) for c in letters}
+        tables.append({form: c for c, form in once.items()})
+        for second in dict.fromkeys((name, "cp1252")):
+            tables.append({_read(form.encode("utf-8", "surrogatepass"), second): c for c, form in once.items()})
+    return [(t, max(map(len, t), default=0)) for t in tables]
+
+
+def spelled(token: str, tables: list[tuple[dict[str, str], int]]) -> str | None:
+    """The token with its garbled characters replaced, or None where no chain accounts for all characters beyond ASCII."""
+    best, least = None, max(oddness(token), 1)
+    for table, longest in tables:
+        out, k = [], 0
+        while k < len(token):
+            if token[k] < "\x80":
+                out.append(token[k])
+                k += 1
                 continue
-            if step is None or oddness(text) < oddness(step):
-                step = text
-        if step is None or oddness(step) >= max(oddness(best), 1):
-            break
-        best = step
-    return best if best != token else None
+            size = next((n for n in range(longest, 0, -1) if token[k : k + n] in table), 0)
+            if not size:
+                break
+            out.append(table[token[k : k + size]])
+            k += size
+        else:
+            text = "".join(out)
+            if text != token and oddness(text) < least:
+                best, least = text, oddness(text)
+    return best
 
 
 def tokens_of(fields: DataFrame) -> DataFrame:
@@ -152,20 +170,36 @@ def _core(token: str) -> str:
 
 
 def _clean_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct tokens to clean words: themselves, or what proves to be behind them."""
+    """Distinct tokens to clean words: those whose characters sit together as in any language."""
     for batch in batches:
         words, counts = [], []
         for token, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if REPLACED in token:
-                continue
-            original = proven_original(token)
-            for w in {original or token, _core(original or token)}:
-                if not w.isascii() and (original or not oddness(w)):
+            for w in {token, _core(token)}:
+                if not w.isascii() and REPLACED not in w and not oddness(w):
                     words.append(w)
                     counts.append(n)
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64())], ["word", "n"])
 
 
+def _spell(letters: tuple[str, ...]):
+    """Odd tokens to what their characters spell; ``letters`` are the characters of the clean words, at most those of Unicode."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = character_forms(letters)
+        for batch in batches:
+            tokens, originals, counts = [], [], []
+            for token, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if REPLACED not in token and oddness(token):
+                    original = spelled(token, tables)
+                    if original is not None:
+                        tokens.append(token)
+                        originals.append(original)
+                        counts.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(originals, pa.string()), pa.array(counts, pa.int64())], ["token", "original", "n"])
+
+    return go
+
+
 def _garble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = [[], [], [], [], [], []]
@@ -180,6 +214,7 @@ def _garble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["form", "word", "chain", "proof", "n", "odder"])
 
 
+EDGES = r"^[.,;:!?()\[\]\"'/]+|[.,;:!?()\[\]\"'/]+$"
 #: How many times commoner than its garbled form an original must be where both look equally sound.
 COMMONER = 4
 
@@ -191,27 +226,34 @@ def garbled_tokens(fields: DataFrame, more_words: DataFrame | None = None) -> Da
     Only distinct tokens are garbled and joined; the occurrences are joined to
     the verified tokens at the end.
     """
-    each = tokens_of(fields).persist()
+    each = keep(tokens_of(fields))
     own = each.groupBy("token").agg(F.count("*").alias("n"), F.lit(1).alias("asked"))
     source = own
     if more_words is not None:
         other = tokens_of(more_words.select(F.lit(0).cast("long").alias("id"), F.lit("").alias("field"), "text")).groupBy("token").agg(F.count("*").alias("n"), F.lit(0).alias("asked"))
         source = own.unionByName(other).groupBy("token").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
-    source = source.persist()
-    clean = source.select("token", "n").mapInArrow(_clean_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    source = keep(source)
+    # each word has hundreds of forms: the words are spread over all tasks, and both sides of the join are shuffled by form
+    tasks = int(fields.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    clean = keep(source.select("token", "n").mapInArrow(_clean_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    letters = tuple(r.c for r in clean.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).where("c >= '\u0080'").distinct().collect())
+    parts = keep(source.where("asked = 1").select("token", "n").mapInArrow(_spell(letters), "token string, original string, n long"))
+    restored = parts.select("n", F.explode(F.array_distinct(F.array("original", F.regexp_replace("original", EDGES, "")))).alias("word")).groupBy("word").agg(F.sum("n").alias("n")).join(clean, "word", "left_anti")
+    clean = clean.unionByName(restored).repartition(tasks, "word")
     forms = clean.mapInArrow(_garble, "form string, word string, chain string, proof int, n long, odder int")
-    bare = F.regexp_replace("token", r"^[.,;:!?()\[\]\"'/]+|[.,;:!?()\[\]\"'/]+$", "")
+    bare = F.regexp_replace("token", EDGES, "")
     asked = source.where("asked = 1").select("token", F.col("n").alias("seen"), F.explode(F.array_distinct(F.array(F.col("token"), bare))).alias("form"))
-    hits = asked.join(forms, "form").where(F.col("token") != F.col("word"))
+    hits = asked.hint("merge").join(forms, "form").where(F.col("token") != F.col("word"))
     # a single character is too little to tell one 8-bit encoding from another
     weighty = F.length("form") >= 2
     likely = (F.col("proof") == 1) & (F.col("odder") > 0) | weighty & ((F.col("odder") >= 2) & (F.col("n") * COMMONER >= F.col("seen")) | (F.col("n") >= COMMONER * F.col("seen")))
     best = hits.where(likely).groupBy("token").agg(F.max_by(F.struct("form", "word"), F.struct("proof", "odder", "n", "word")).alias("b"))
     # a form can begin or end with the marks that surround the token
-    restored = best.select("token", F.replace(F.col("token"), F.col("b.form"), F.col("b.word")).alias("original"))
-    lost = own.where(F.contains(F.col("token"), F.lit(REPLACED))).select("token", F.lit(None).cast("string").alias("original"))
-    bad = restored.unionByName(lost).groupBy("token").agg(F.max("original").alias("original"))
-    return each.join(bad, "token").select("id", "field", "token", "original")
+    whole = best.select("token", F.replace(F.col("token"), F.col("b.form"), F.col("b.word")).alias("original"), F.lit(2).alias("rank"))
+    parts = parts.select("token", "original", F.lit(1).alias("rank"))
+    lost = own.where(F.contains(F.col("token"), F.lit(REPLACED))).select("token", F.lit(None).cast("string").alias("original"), F.lit(0).alias("rank"))
+    bad = whole.unionByName(parts).unionByName(lost).groupBy("token").agg(F.max_by("original", "rank").alias("original"))
+    return each.hint("merge").join(bad, "token").select("id", "field", "token", "original")
 
 
 def restore(fields: DataFrame, found: DataFrame) -> DataFrame:
