@@ -9,7 +9,8 @@ together and by how often the corpus has it.
 Words that the corpus only has garbled: single characters are garbled under the
 chains through UTF-8 in the same way, and a token all of whose odd places are
 garbled characters of one chain is that chain's text.  Words restored so are
-garbled and joined in their turn, but never count as words the corpus has.
+garbled and joined in their turn; how common a word is counts where it stands
+clean and where it was restored.
 
 Fixed meaning: null and empty fields are no case; a field with U+FFFD, which
 stands for bytes that could not be decoded, is a case without an original.
@@ -33,7 +34,7 @@ SINGLE = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "cp437",
 TOKEN = regex.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
 REPLACED = "�"
 #: Characters that are garbled one by one: letters and marks of the alphabets of Europe, besides those the corpus has.
-ALPHABETS = tuple(c for a, b in ((0xA0, 0x250), (0x370, 0x530), (0x1E00, 0x2000), (0x2010, 0x2040), (0x20A0, 0x20C0)) for c in map(chr, range(a, b)) if U.category(c)[0] in "LPSZ")
+ALPHABETS = tuple(c for a, b in ((0xA0, 0x250), (0x370, 0x530), (0x1E00, 0x2000), (0x2010, 0x2040), (0x20A0, 0x20C0)) for c in map(chr, range(a, b)) if U.category(c)[0] in "LNPSZ")
 
 
 @cache
@@ -235,12 +236,12 @@ def garbled_tokens(fields: DataFrame, more_words: DataFrame | None = None) -> Da
     source = keep(source)
     # each word has hundreds of forms: the words are spread over all tasks, and both sides of the join are shuffled by form
     tasks = int(fields.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    clean = keep(source.select("token", "n").mapInArrow(_clean_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    clean = keep(source.select("token", "n").mapInArrow(_clean_words, "word string, n long"))
     letters = tuple(r.c for r in clean.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).where("c >= '\u0080'").distinct().collect())
     parts = keep(source.where("asked = 1").select("token", "n").mapInArrow(_spell(letters), "token string, original string, n long"))
-    restored = parts.select("n", F.explode(F.array_distinct(F.array("original", F.regexp_replace("original", EDGES, "")))).alias("word")).groupBy("word").agg(F.sum("n").alias("n")).join(clean, "word", "left_anti")
-    clean = clean.unionByName(restored).repartition(tasks, "word")
-    forms = clean.mapInArrow(_garble, "form string, word string, chain string, proof int, n long, odder int")
+    restored = parts.select("n", F.explode(F.array_distinct(F.array("original", F.regexp_replace("original", EDGES, "")))).alias("word"))
+    known = clean.unionByName(restored.select("word", "n")).repartition(tasks, "word").groupBy("word").agg(F.sum("n").alias("n"))
+    forms = known.mapInArrow(_garble, "form string, word string, chain string, proof int, n long, odder int")
     bare = F.regexp_replace("token", EDGES, "")
     asked = source.where("asked = 1").select("token", F.col("n").alias("seen"), F.explode(F.array_distinct(F.array(F.col("token"), bare))).alias("form"))
     hits = asked.hint("merge").join(forms, "form").where(F.col("token") != F.col("word"))
