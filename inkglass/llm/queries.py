@@ -65,8 +65,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_sanitised(spark: SparkSession, d: str) -> DataFrame:
-    texts = _personal_texts(spark, d)
-    return personal.sanitised(texts, personal.mentions(texts))
+    return personal.sanitised(_personal_texts(spark, d))
 
 
 def _alike_texts(spark: SparkSession, d: str) -> DataFrame:
