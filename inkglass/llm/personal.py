@@ -207,8 +207,8 @@ def _scores(contexts: DataFrame, bits: DataFrame) -> DataFrame:
     """``contexts`` with the bits of all their terms added up by kind."""
     # what stands before a number says more than what comes after; the traits of its form overlap
     weight = F.when(F.startswith("term", F.lit("<")), 1.0).when(F.startswith("term", F.lit(">")), 0.5).otherwise(0.6)
-    each = contexts.select("terms", F.explode(F.array_distinct("terms")).alias("term")).join(bits, "term")
-    return contexts.join(each.groupBy("terms").agg(*[F.sum(F.col(k) * weight).alias(k) for k in CUES]), "terms", "left").fillna(0.0, list(CUES))
+    each = contexts.select("terms", F.explode(F.array_distinct("terms")).alias("term")).hint("merge").join(bits, "term")
+    return contexts.hint("merge").join(each.groupBy("terms").agg(*[F.sum(F.col(k) * weight).alias(k) for k in CUES]), "terms", "left").fillna(0.0, list(CUES))
 
 
 def judge_numbers(candidates: DataFrame) -> DataFrame:
@@ -226,7 +226,7 @@ def judge_numbers(candidates: DataFrame) -> DataFrame:
     best = F.greatest("phone", "id_number")
     mention = F.when((best >= THRESHOLD) & (best >= F.col("other")), F.when(F.col("phone") == best, "phone").otherwise("id_number"))
     kept = told.select("terms", mention.alias("as")).where("as is not null")
-    return numbers.join(kept, "terms").select("src", "rec_id", F.col("as").alias("kind"), "start_at", "end_at")
+    return numbers.hint("merge").join(kept, "terms").select("src", "rec_id", F.col("as").alias("kind"), "start_at", "end_at")
 
 
 def mail_words(candidates: DataFrame) -> DataFrame:

@@ -3,10 +3,12 @@
 A sparse de Bruijn graph: token k-mers are the edges that texts walk along; of
 each few neighbouring k-mers the one of least hash stands for them, so that
 every span of the given length holds at least one.  K-mers of more than one
-record are kept, paths without a branch are compacted to one piece by joins on
-the k-mers' unique successors and predecessors, and around the pieces the
-source coordinates are verified: every run of ``least`` characters there is
-hashed and must stand in another record without a source in common.
+record are kept, and paths that every text walks whole, without a branch, a
+beginning or an end inside, are compacted to one piece.  All records that have
+any run of a piece have all of it, so a piece is verified by its source
+coordinates as one row; only runs of ``least`` characters that reach over a
+piece's ends are verified one by one.  Either must stand, character for
+character, in another record without a source in common.
 
 Fixed meaning: null, empty and short texts share nothing; a null or empty
 list of sources has nothing in common with any; repeated rows count once.
@@ -111,60 +113,62 @@ def _anchors(least: int):
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, nth, at, hashes = [], [], [], []
+            out = [[] for _ in range(5)]
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                starts, _, mers, least_of = _minimal(_Hashes(text, (_B1,)), k, w)
+                starts, ends, mers, least_of = _minimal(_Hashes(text, (_B1,)), k, w)
                 if mers is None:
                     continue
                 pick = np.unique(least_of)
-                ids.append(np.full(len(pick), i))
-                nth.append(np.arange(len(pick)))
-                at.append(starts[pick])
-                hashes.append(mers[pick].view(np.int64))
-            cat = lambda x, t: pa.array(np.concatenate(x) if x else [], t)
-            yield pa.RecordBatch.from_arrays([cat(ids, pa.int64()), cat(nth, pa.int32()), cat(at, pa.int32()), cat(hashes, pa.int64())], ["id", "nth", "at", "mer"])
+                for column, x in zip(out, (np.full(len(pick), i), np.arange(len(pick)), starts[pick], ends[pick + k - 1], mers[pick].view(np.int64))):
+                    column.append(x)
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, kinds)], ["id", "nth", "at", "upto", "mer"])
 
     return go
 
 
 def pieces(texts: DataFrame, least: int = LEAST) -> DataFrame:
-    """(id, piece, at, last) of each unbranched piece of repeated k-mers, per
-    record: the starts of its first and last one; ``texts`` has id (long) and text."""
-    mers = keep(texts.where(F.length("text") >= least).select("id", "text").mapInArrow(_anchors(least), "id long, nth int, at int, mer long"))
+    """(id, piece, at, last, upto) of each piece of repeated k-mers, per record:
+    the starts of its first and last one, and its end; ``texts`` has id (long) and text."""
+    mers = keep(texts.where(F.length("text") >= least).select("id", "text").mapInArrow(_anchors(least), "id long, nth int, at int, upto int, mer long"))
     repeated = mers.groupBy("mer").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("mer")
     walked = mers.join(repeated, "mer", "left_semi").distinct()
     along = Window.partitionBy("id").orderBy("nth")
-    next_to = F.lag("nth").over(along) + 1 == F.col("nth")
-    steps = cut(walked.withColumn("before", F.when(next_to, F.lag("mer").over(along))))
-    edges = steps.where("before is not null").select("before", "mer")
-    # edges whose ends have no other way out or in
-    only_out = edges.groupBy("before").agg(F.min("mer").alias("mer"), F.max("mer").alias("other")).where("mer = other").select("before", "mer")
-    only_in = edges.groupBy("mer").agg(F.min("before").alias("before"), F.max("before").alias("other")).where("before = other").select("before", "mer")
-    smooth = only_out.join(only_in, ["before", "mer"]).withColumn("smooth", F.lit(1))
-    marked = steps.join(smooth, ["before", "mer"], "left")
-    path = marked.withColumn("piece", F.sum(F.when(F.col("smooth").isNull(), 1).otherwise(0)).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    return path.groupBy("id", "piece").agg(F.min("at").alias("at"), F.max("at").alias("last"))
-
-
-def _windows(least: int):
-    """Runs of ``least`` characters that may be shared: all k-mers that stand for
-    their windows inside the run are repeated.  Any shared run is one of them,
-    because its inside, but for the words at its ends, has the same k-mers
-    standing for it wherever it stands."""
+    # the step into each k-mer and out of it, with its length; 0 where a text's walk begins or ends
+    step = lambda here, of: F.when(of("nth").over(along) == here, F.xxhash64(of("mer").over(along), F.abs(of("at").over(along) - F.col("at")))).otherwise(F.lit(0).cast("long"))
+    steps = cut(walked.withColumns({"into": step(F.col("nth") - 1, F.lag), "out": step(F.col("nth") + 1, F.lead)}))
+    one_way = lambda c: (F.min(c) == F.max(c)) & (F.max(c) != 0)
+    nodes = steps.groupBy("mer").agg(one_way("into").alias("one_in"), one_way("out").alias("one_out"))
+    marked = steps.join(nodes, "mer")
+    joined = F.col("one_in") & F.coalesce(F.lag("one_out").over(along), F.lit(False))
+    path = marked.withColumn("new", F.when(joined, 0).otherwise(1)).withColumn("piece", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return path.groupBy("id", "piece").agg(F.min("at").alias("at"), F.max("at").alias("last"), F.max("upto").alias("upto"))
+
+
+def _runs(least: int):
+    """Pieces of at least ``least`` characters, and the runs of ``least`` characters
+    outside them that may be shared: all k-mers that stand for their windows
+    inside the run are repeated.  Any shared run is one of them, because its
+    inside, but for the words at its ends, has the same k-mers standing for it
+    wherever it stands."""
     k, w = _geometry(least)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, at, h1, h2 = [], [], [], []
+            out = [[] for _ in range(5)]
             for i, text, spans in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 h = _Hashes(text)
                 n = len(h.codes) - least + 1
                 starts, ends, mers, least_of = _minimal(h, k, w)
                 if mers is None or n < 1:
                     continue
-                again = np.zeros(len(starts), bool)
+                again, inside, long = np.zeros(len(starts), bool), np.zeros(n + 1, np.int64), []
                 for s in spans:
                     again[(starts >= s["at"]) & (starts <= s["last"])] = True
+                    if s["upto"] - s["at"] >= least:
+                        inside[s["at"]] += 1
+                        inside[s["upto"] - least + 1] -= 1
+                        long.append((s["at"], s["upto"]))
                 wide = min(w, len(mers))
                 first, upto = starts[: len(least_of)], ends[k + wide - 2 : k + wide - 2 + len(least_of)]
                 good = again[least_of]
@@ -178,13 +182,14 @@ def _windows(least: int):
                 np.add.at(count[1], lo[bad], 1)
                 np.add.at(count[1], hi[bad] + 1, -1)
                 have = np.cumsum(count, axis=1)[:, :-1]
-                at_ = np.nonzero((have[0] > 0) & (have[1] == 0))[0]
-                ids.append(np.full(len(at_), i))
-                at.append(at_)
-                h1.append(h.of(at_, at_ + least).view(np.int64))
-                h2.append(h.of(at_, at_ + least, 1).view(np.int64))
-            cat = lambda x, t: pa.array(np.concatenate(x) if x else [], t)
-            yield pa.RecordBatch.from_arrays([cat(ids, pa.int64()), cat(at, pa.int32()), cat(h1, pa.int64()), cat(h2, pa.int64())], ["id", "at", "h1", "h2"])
+                at = np.nonzero((have[0] > 0) & (have[1] == 0) & (np.cumsum(inside)[:-1] == 0))[0]
+                end = at + least
+                if long:
+                    at, end = (np.concatenate((x, y)) for x, y in zip((at, end), np.array(long, np.int64).T))
+                for column, x in zip(out, (np.full(len(at), i), at, end, h.of(at, end).view(np.int64), h.of(at, end, 1).view(np.int64))):
+                    column.append(x)
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, kinds)], ["id", "at", "upto", "h1", "h2"])
 
     return go
 
@@ -203,19 +208,19 @@ def shared_stretches(records: DataFrame, least: int = LEAST) -> DataFrame:
     # sources are compared by 64-bit hashes of their names
     coded = F.array_sort(F.array_distinct(F.transform(F.coalesce("sources", F.array().cast("array<string>")), lambda s: F.xxhash64(s))))
     rows = records.select("id", "text", coded.alias("sources"))
-    spans = pieces(rows, least).groupBy("id").agg(F.collect_list(F.struct("at", "last")).alias("spans"))
+    spans = pieces(rows, least).groupBy("id").agg(F.collect_list(F.struct("at", "last", "upto")).alias("spans"))
     spans = cut(spans)
     one = rows.join(spans, "id").dropDuplicates(["id"])
-    where = one.select("id", "text", "spans").mapInArrow(_windows(least), "id long, at int, h1 long, h2 long")
+    where = one.select("id", "text", "spans").mapInArrow(_runs(least), "id long, at int, upto int, h1 long, h2 long")
     sets = rows.join(spans, "id", "left_semi").dropDuplicates(["id"]).select("id", "sources", F.when(F.size("sources") == 0, F.xxhash64(F.lit("none"), F.col("id"))).otherwise(F.xxhash64("sources")).alias("set_key"))
     runs = cut(where.join(sets, "id"))
     witness = F.struct("set_key", "id", "sources")
     groups = runs.groupBy("h1", "h2").agg(F.min(witness).alias("a"), F.max(witness).alias("b"), F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("first", "last")
     apart = lambda w: (F.col(f"{w}.id") != F.col("id")) & ~F.arrays_overlap(F.col(f"{w}.sources"), F.col("sources"))
     judged = runs.join(groups, ["h1", "h2"]).withColumn("sure", F.coalesce(apart("a") | apart("b"), F.lit(False)))
-    sure = judged.where("sure").select("id", "at")
+    sure = judged.where("sure").select("id", "at", "upto")
     # neither the first nor the last set of sources is apart: look at all of them
-    open_rows = judged.where(~F.col("sure") & (F.col("a.set_key") != F.col("b.set_key"))).select("h1", "h2", "id", "at", "set_key", "sources")
+    open_rows = judged.where(~F.col("sure") & (F.col("a.set_key") != F.col("b.set_key"))).select("h1", "h2", "id", "at", "upto", "set_key", "sources")
     open_rows = cut(open_rows)
     asked = open_rows.select("h1", "h2", "set_key", "sources").distinct()
     all_sets = runs.select("h1", "h2", "set_key", "sources").join(asked.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").distinct()
@@ -228,11 +233,11 @@ def shared_stretches(records: DataFrame, least: int = LEAST) -> DataFrame:
     others = all_sets.select("h1", "h2", F.col("sources").alias("other"))
     rest = asked.join(total.where("large = 1").select("h1", "h2"), ["h1", "h2"], "left_semi").alias("x")
     one_by_one = rest.join(others.alias("y"), (F.col("x.h1") == F.col("y.h1")) & (F.col("x.h2") == F.col("y.h2")) & ~F.arrays_overlap("sources", "other"), "left_semi").select("h1", "h2", "set_key")
-    late = open_rows.join(by_count.unionByName(one_by_one), ["h1", "h2", "set_key"], "left_semi").select("id", "at")
-    along = Window.partitionBy("id").orderBy("at")
-    good = sure.unionByName(late).distinct().withColumn("new", F.when(F.col("at") > F.lag("at").over(along) + least, 1).otherwise(0))
-    stretch = good.withColumn("stretch", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    return stretch.groupBy("id", "stretch").agg(F.min("at").alias("start_at"), (F.max("at") + least).alias("end_at")).drop("stretch")
+    late = open_rows.join(by_count.unionByName(one_by_one), ["h1", "h2", "set_key"], "left_semi").select("id", "at", "upto")
+    along = Window.partitionBy("id").orderBy("at", "upto").rowsBetween(Window.unboundedPreceding, -1)
+    good = sure.unionByName(late).distinct().withColumn("new", F.when(F.col("at") > F.max("upto").over(along), 1).otherwise(0))
+    stretch = good.withColumn("stretch", F.sum("new").over(Window.partitionBy("id").orderBy("at", "upto").rowsBetween(Window.unboundedPreceding, 0)))
+    return stretch.groupBy("id", "stretch").agg(F.min("at").alias("start_at"), F.max("upto").alias("end_at")).drop("stretch")
 
 
 def shared_share(records: DataFrame, stretches: DataFrame) -> DataFrame:
