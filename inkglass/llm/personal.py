@@ -75,6 +75,8 @@ _CAPITALS = re.compile("[A-Z\u00c0-\u00de\u0100-\u03ff\u0400-\u042f][\\w'’-]+,
 _WORDS = regex.compile(r"\p{L}[\p{L}'’]*")
 #: A possible name: two capitalised words, the second perhaps double or both the other way round with a comma, or with initials between.
 _PAIRS = regex.compile(r"(?<![\p{L}\p{N}@.+_-])(\p{Lu}[\p{L}'’]+(?:-\p{Lu}[\p{L}'’]+)?)(,?[ \n]|[ \n](?:\p{Lu}(?:\.[ \n-]?|[ \n]))+(?<=[ \n]))(?=(\p{Lu}[\p{L}'’]+(?:-\p{Lu}[\p{L}'’]+)?)(?![\p{L}\p{N}@_]))")
+# Traits of numbers that are dialled from abroad; beside no telling word they help to learn.
+ABROAD = ("#begins +", "#begins 00")
 #: Bits of evidence from which a number counts as a mention, and a number without a telling word helps to learn.
 THRESHOLD, SURE = 1.0, 4.0
 #: Most bits that one term speaks with.
@@ -217,7 +219,7 @@ def judge_numbers(candidates: DataFrame) -> DataFrame:
     cue = F.create_map(*[F.lit(x) for w, k in kind_of.items() for x in (w, k)])
     kinds = F.array_distinct(F.filter(F.transform("terms", lambda t: F.try_element_at(cue, F.substring(t, 2, 100))), lambda k: k.isNotNull()))
     numbers = candidates.where("kind = 'number'")
-    contexts = cut(numbers.groupBy("terms").agg(F.count("*").alias("n")).withColumn("kind", F.when(F.size(kinds) == 1, kinds[0])))
+    contexts = cut(numbers.groupBy("terms").agg(F.count("*").alias("n")).withColumn("kind", F.when(F.size(kinds) == 1, kinds[0]).when((F.size(kinds) == 0) & F.arrays_overlap("terms", F.lit(list(ABROAD))), "phone")))
     first = _scores(contexts, disclosure(contexts))
     best = F.greatest(*[F.col(k) for k in CUES])
     guess = F.when(best >= SURE, F.when(F.col("phone") == best, "phone").when(F.col("id_number") == best, "id_number").otherwise("other"))
