@@ -7,13 +7,17 @@ Labelling functions say, of a document and a subject, how strongly they see it:
 * address - a word of the lexicon in a web or mail address or a path,
 * source  - the folder the document comes from.
 
-The lexicon starts from a few general words for each subject and language and
-is grown from the corpus: a word joins a subject's lexicon if, over all
-documents, it stands mostly where that subject is known (by the lexicon so
-far, or by a label of the document).  How far each function can be trusted is
-learned without labels by expectation maximisation over the counts of vote
-patterns, and each document gets the subjects of posterior above one half
-that it comes back to, i.e. that more than one of its lines or sentences names.
+The lexicon starts from the names of the subjects and what the table of subjects
+says they are about, in four languages, and is grown from the corpus: a word
+joins a subject's lexicon if, over all documents, it stands mostly where that
+subject is known (by the lexicon so far, or by a label of the document).  How
+far each function can be trusted is learned without labels by expectation
+maximisation over the counts of vote patterns, and each document gets the
+subjects of posterior above one half that it comes back to, i.e. that more than
+one of its lines or sentences names.
+
+Texts are read once: what later steps read are 64-bit hashes of the words of
+each line or sentence.
 
 Fixed meaning: null and empty texts have no subject; a document may have none.
 """
@@ -21,214 +25,224 @@ Fixed meaning: null and empty texts have no subject; a document may have none.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut, keep
 from .lookalikes import rewriter, rewrites
 
-# General words of each subject, in English, German, French and Spanish.
+# The names of the subjects and the words of their descriptions, in English, German, French and Spanish.
 SEEDS = {
-    "medicine": "doctor nurse patient hospital clinic vaccine vaccination surgery surgeon diagnosis dosage fever infection allergy therapy symptom prescription pharmacy physiotherapy "
-    "arzt ärztin krankenhaus klinik impfung diagnose rezept fieber infektion allergie therapie chirurgin apotheke "
-    "médecin infirmière hôpital clinique vaccin diagnostic ordonnance fièvre infection allergie thérapie chirurgienne pharmacie "
-    "médico enfermera hospital clínica vacuna diagnóstico receta fiebre infección alergia terapia cirujana farmacia",
-    "law": "court lawyer attorney judge verdict lawsuit plaintiff defendant appeal statute tribunal notary liability settlement witness "
-    "gericht anwältin anwalt richter urteil klage klägerin berufung gesetz haftung notar zeuge "
-    "tribunal avocat avocate juge verdict plaignante appel loi notaire témoin procès "
-    "tribunal abogado abogada juez sentencia demanda demandante apelación ley notario testigo juicio",
-    "finance": "bank loan interest dividend shareholder bond budget deficit tax invoice mortgage savings audit "
-    "kredit zins dividende aktionär anleihe haushalt steuer sparkonto "
-    "banque prêt intérêt dividende actionnaire obligation impôt épargne budget "
-    "banco préstamo interés dividendo accionista bono impuesto ahorro presupuesto",
-    "travel": "airport flight passport visa hotel hostel luggage itinerary ferry suitcase campsite shuttle "
-    "flughafen reisepass passkontrolle visum hotelbuchung jugendherberge gepäck reiseroute fähre zeltplatz "
-    "aéroport vol passeport visa hôtel auberge bagage itinéraire ferry camping "
-    "aeropuerto vuelo pasaporte visado hotel albergue equipaje itinerario ferry campamento",
-    "cooking": "recipe oven frying pan pastry dough soup roast marinade seasoning yeast cinnamon olive lentil "
-    "rezept backofen pfanne teig suppe braten marinade gewürz hefe zimt olivenöl "
-    "recette four poêle pâte soupe rôti marinade assaisonnement levure cannelle "
-    "receta horno sartén masa sopa asado adobo levadura canela aceite",
-    "sport": "match goalkeeper referee medal marathon training coach league tournament stadium athlete juggling "
-    "spiel torwart schiedsrichterin schiedsrichter medaille marathon training trainer liga turnier stadion "
-    "gardien arbitre médaille marathon entraînement entraîneur ligue tournoi stade "
-    "portero árbitro medalla maratón entrenamiento entrenador liga torneo estadio",
-    "software": "software browser compiler database server bug driver update algorithm version command unit repository "
-    "modultest fehlerbericht datenbank treiber browser versionsverwaltung befehlszeile "
-    "navigateur logiciel compilateur serveur pilote bogue algorithme "
-    "navegador compilador servidor controlador algoritmo repositorio",
-    "schooling": "school teacher headteacher exam lesson homework semester scholarship lecture geometry curriculum term "
-    "schule lehrerin lehrer prüfung unterricht hausaufgabe semester stipendium lehrplan hörsaal "
-    "école professeur examen leçon devoir semestre bourse amphithéâtre programme bulletin scolaire "
-    "escuela maestra profesor examen lección deberes semestre beca aula",
-    "housing": "tenant landlord rent lease apartment boiler tiling floor neighbour estate viewing "
-    "mieter vermieter miete mietvertrag wohnung heizkessel fliesen "
-    "locataire propriétaire loyer bail appartement chaudière carrelage immobilier locatives "
-    "inquilino propietario alquiler arrendamiento apartamento caldera azulejo",
-    "vehicles": "car tyre brake windscreen headlamp engine exhaust coolant motorway fuel mileage clutch "
-    "reifen bremsbelag windschutzscheibe scheinwerfer motor motoröl auspuff kühlmittel autobahn kilometerstand kennzeichen "
-    "pneu frein phare moteur échappement autoroute carburant immatriculation "
-    "neumático freno parabrisas faro motor escape autopista combustible matrícula",
-    "science": "experiment molecule laboratory hypothesis telescope particle enzyme microscope gravity physics chemistry "
-    "labor molekül hypothese teleskop teilchen enzym mikroskop schwerkraft versuch "
-    "laboratoire molécule hypothèse télescope particule enzyme gravité expérience "
-    "laboratorio molécula hipótesis telescopio partícula enzima gravedad experimento",
-    "gardening": "garden seed compost greenhouse hedge lawn pruning mulch soil fertiliser seedling "
-    "garten samen kompost gewächshaus hecke rasen rindenmulch dünger setzling "
-    "jardin graine compost serre haie gazon paillis engrais semis "
-    "jardín semilla abono invernadero seto césped fertilizante plantón",
+    "medicine": "medicine health treatment medizin gesundheit behandlung pflege médecine santé traitement soins medicina salud tratamiento",
+    "law": "law court courts contract contracts legal claim claims recht gericht gerichte vertrag verträge klage droit tribunal tribunaux contrat contrats juridique derecho tribunal contrato contratos demanda",
+    "finance": "finance money bank banking tax taxes finanzen geld steuer steuern argent banque impôt impôts finanzas dinero banco impuesto impuestos",
+    "travel": "travel journey journeys lodging border borders reise reisen unterkunft grenze grenzen voyage voyages hébergement frontière frontières viaje viajes alojamiento frontera fronteras",
+    "cooking": "cooking food kochen essen speise cuisine nourriture cocina comida",
+    "sport": "sport sports games training competition competitions spiel spiele wettkampf wettkämpfe jeux entraînement compétition compétitions deporte juegos entrenamiento competición competiciones",
+    "software": "software program programs computer computers programm programme rechner logiciel ordinateur ordinateurs programa programas ordenador ordenadores",
+    "schooling": "schooling school study exam exams schule studium prüfung prüfungen école études examen examens escuela estudio exámenes",
+    "housing": "housing home homes renting rent repairs wohnen wohnung miete reparaturen logement loyer réparations vivienda alquiler reparaciones",
+    "vehicles": "vehicle vehicles car cars driving fahrzeug fahrzeuge auto autos fahren véhicule véhicules voiture voitures conduite vehículo vehículos coche coches conducción",
+    "science": "science research nature wissenschaft forschung natur recherche ciencia investigación naturaleza",
+    "gardening": "gardening plant plants garden pflanze pflanzen garten gartenarbeit jardinage plante plantes jardin jardinería planta plantas jardín",
 }
 
 WORD = re.compile(r"[^\W\d_]{3,}")
 UNIT = re.compile(r"\n+|(?<=[.!?;])\s+")
 ADDRESS = re.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\w+|\b\w+(?:[-.]\w+)+\.(?:example|com|org|net|test|invalid)\S*|(?:\w+/){2,}\w*")
 #: A word joins a lexicon with at least this many documents of known subject and this share of them in the subject.
-MIN_DOCS, MIN_SHARE, MIN_LEAD = 8, 0.40, 2.0
+MIN_DOCS, MIN_SHARE, MIN_LEAD = 4, 0.40, 2.0
 #: ... and this many standard deviations above what chance would give.
 MIN_SIGMAS = 5.0
-ROUNDS = 3
+#: The lexicon grows until a round changes less than this share of it, for so many rounds at most.
+STILL, ROUNDS = 0.01, 8
 
 
-def _units(text: str) -> list[tuple[str, set[str]]]:
-    """Lines and sentences with their words in small letters."""
-    return [(u, set(WORD.findall(u.casefold()))) for u in UNIT.split(text)]
+def _code(word: str) -> int:
+    return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
-def _named(units: list[tuple[str, set[str]]], lexicon: dict[str, int], n: int) -> np.ndarray:
-    """Of each subject: how many units name it."""
-    named, known = np.zeros(n, np.int32), lexicon.keys()
-    for _, words in units:
-        for s in {lexicon[w] for w in words & known}:
-            named[s] += 1
-    return named
-
-
-def _places(text: str, units: list[tuple[str, set[str]]], lexicon: dict[str, int], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each subject: a heading names it, an address names it."""
-    head, address, known, begun = np.zeros(n, bool), np.zeros(n, bool), lexicon.keys(), 0
+def _places(text: str, units: list[tuple[str, set[str]]]) -> tuple[set[str], set[str]]:
+    """Words of headings, and of addresses."""
+    head, address, begun = set(), set(), 0
     for unit, words in units:
         if not words:
             continue
         # the first short line is a heading; a line of a clock or a greeting may stand before it
         if unit.startswith("#") or begun == 0 and len(unit) < 90:
-            for w in words & known:
-                head[lexicon[w]] = True
+            head |= words
         if not (begun == 0 and len(unit) < 25):
             begun = 1
     if "@" in text or "/" in text or "www." in text or ".example" in text:
         for found in ADDRESS.findall(text):
-            for w in set(WORD.findall(found.casefold())) & known:
-                address[lexicon[w]] = True
+            address.update(WORD.findall(found.casefold()))
     return head, address
 
 
+def read_words(docs: DataFrame) -> DataFrame:
+    """``docs`` with hashes of words instead of the text: ``words`` of all lines
+    and sentences, each word once in each, ``ends`` where each line or sentence
+    ends among them, and the words of ``head`` and ``address``."""
+    alike = rewrites({})
+    kept = [c for c in docs.columns if c != "text"]
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, code = rewriter(alike), {}
+
+        def coded(words: set[str]) -> list[int]:
+            out = []
+            for w in words:
+                c = code.get(w)
+                if c is None:
+                    c = code[w] = _code(w)
+                out.append(c)
+            return out
+
+        for batch in batches:
+            words, ends, heads, addresses = [], [], [], []
+            for text in batch.column(len(kept)).to_pylist():
+                text = fold(text)
+                units = [(u, set(WORD.findall(u.casefold()))) for u in UNIT.split(text)]
+                every, upto = [], []
+                for _, own in units:
+                    every += coded(own)
+                    upto.append(len(every))
+                head, address = _places(text, units)
+                words.append(every)
+                ends.append(upto)
+                heads.append(coded(head))
+                addresses.append(coded(address))
+            if len(code) > 1_000_000:
+                code.clear()
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), pa.array(words, longs), pa.array(ends, pa.list_(pa.int32())), pa.array(heads, longs), pa.array(addresses, longs)], [*kept, "words", "ends", "head", "address"])
+
+    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
+    return docs.select(*kept, "text").mapInArrow(go, f"{schema}, words array<long>, ends array<int>, head array<long>, address array<long>")
+
+
 def _known(docs: DataFrame, labels: DataFrame, subjects: list[str]) -> DataFrame:
     """Documents with the number of their label's subject, or -1.  Labels that disagree say nothing."""
     clean = labels.where("subject is not null").select("doc_id", F.lower(F.trim("subject")).alias("s"))
     number = F.create_map(*[F.lit(x) for i, s in enumerate(subjects) for x in (s.lower(), i)])
     one = clean.groupBy("doc_id").agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a = b").select("doc_id", F.try_element_at(number, F.col("a")).alias("label"))
-    return docs.select("doc_id", "text", "source").join(one, "doc_id", "left").withColumn("label", F.coalesce("label", F.lit(-1)))
+    return docs.join(one, "doc_id", "left").withColumn("label", F.coalesce("label", F.lit(-1)))
 
 
-def _count_words(docs: DataFrame, lexicon: dict[str, int], n: int) -> DataFrame:
-    """(word, known, by): in how many documents of known subject the word stands, and in how many of each subject; added up per task before the shuffle."""
+class Lexicon:
+    """Sorted hashes of words and the subject of each: 12 bytes a word, sent to every task."""
 
-    alike = rewrites({})
+    def __init__(self, words: dict[int, int]):
+        self.codes = np.array(sorted(words), np.int64)
+        self.subject = np.array([words[c] for c in self.codes.tolist()], np.int32)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """The subject of each word, or -1."""
+        if not len(self.codes):
+            return np.full(len(codes), -1)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, self.subject[at], -1)
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, and the row of each."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    sizes = np.diff(column.offsets.to_numpy())
+    return values, np.repeat(np.arange(len(column)), sizes)
+
+
+def _named(words: pa.Array, ends: pa.Array, lexicon: Lexicon, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes and rows of all words; of each row and subject, how many units and how many different words name it."""
+    codes, row = _flat(words)
+    starts = np.zeros(len(words), np.int64)
+    np.cumsum(np.diff(words.offsets.to_numpy())[:-1], out=starts[1:])
+    upto, unit_row = _flat(ends)
+    s = lexicon.find(codes)
+    hit = np.nonzero(s >= 0)[0]
+    unit = np.searchsorted(upto + starts[unit_row], hit, side="right")
+    units, different = np.zeros((len(words), n), np.int64), np.zeros((len(words), n), np.int64)
+    pairs = np.unique(unit * n + s[hit])
+    np.add.at(units, (unit_row[pairs // n], pairs % n), 1)
+    seen = np.unique(np.stack([row[hit], codes[hit], s[hit]]), axis=1)
+    np.add.at(different, (seen[0], seen[2]), 1)
+    return codes, row, units, different
 
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
-        fold, known = rewriter(alike), lexicon.keys()
 
-        def out():
-            words = list(total)
-            table = np.array([total[w] for w in words]) if words else np.zeros((0, n + 1))
-            total.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(table.astype(np.int64).tolist(), pa.list_(pa.int64()))], ["word", "by"])
+def _count_words(docs: DataFrame, lexicon: Lexicon, n: int) -> DataFrame:
+    """(word, n0, ...): in how many documents of each subject the word stands, and last in how many of known subject; added up per batch before the shuffle."""
 
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                units = _units(fold(text))
-                named = _named(units, lexicon, n)
-                every = set().union(*(words for _, words in units))
-                # known by two words at least: no word makes itself known
-                seen = Counter(lexicon[w] for w in every & known)
-                by = np.array([named[s] >= 2 and seen[s] >= 2 for s in range(n)], np.float64)
-                if label >= 0:
-                    by[label] = 1
-                if not by.any():
-                    continue
-                row = np.append(by, 1)
-                for w in every:
-                    if w in total:
-                        total[w] += row
-                    else:
-                        total[w] = row.copy()
-            if len(total) > 400_000:
-                yield out()
-        yield out()
-
-    counted = docs.select("text", "label").mapInArrow(go, "word string, by array<long>")
-    sums = [F.sum(F.col("by")[i]).alias(f"n{i}") for i in range(n + 1)]
-    return counted.groupBy("word").agg(*sums).where(F.col(f"n{n}") >= MIN_DOCS)
-
-
-def grow(docs: DataFrame, lexicon: dict[str, int], seeds: dict[str, int], n: int) -> dict[str, int]:
+            codes, row, units, different = _named(batch.column(0), batch.column(1), lexicon, n)
+            # known by two words at least: no word makes itself known
+            by = ((units >= 2) & (different >= 2)).astype(np.int64)
+            label = np.array(batch.column(2).to_pylist(), np.int64)
+            told = np.nonzero(label >= 0)[0]
+            by[told, label[told]] = 1
+            by = np.concatenate([by, by.any(axis=1, keepdims=True).astype(np.int64)], axis=1)
+            use = by[row, n] > 0
+            pairs = np.unique(np.stack([codes[use], row[use]]), axis=1)
+            words, at = np.unique(pairs[0], return_inverse=True)
+            total = np.zeros((len(words), n + 1), np.int64)
+            np.add.at(total, at.ravel(), by[pairs[1]])
+            yield pa.RecordBatch.from_arrays([pa.array(words), *(pa.array(total[:, k]) for k in range(n + 1))], ["word", *names])
+
+    names = [f"n{k}" for k in range(n + 1)]
+    counted = docs.select("words", "ends", "label").mapInArrow(go, "word long, " + ", ".join(f"{c} long" for c in names))
+    return counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in names]).where(F.col(names[-1]) >= MIN_DOCS)
+
+
+def grow(docs: DataFrame, lexicon: dict[int, int], seeds: dict[int, int], n: int) -> dict[int, int]:
     """The next lexicon: words that pass, and first words that the corpus says
-    too little about.  What comes to the driver are the words of one subject,
-    a vocabulary, not documents."""
-    counts = _count_words(docs, lexicon, n).persist()
+    too little about.  Words are judged in Spark; what comes to the driver are
+    hashes of the words of one subject."""
+    counts = keep(_count_words(docs, Lexicon(lexicon), n))
     base = counts.agg(*[F.max(f"n{i}").alias(f"n{i}") for i in range(n + 1)]).first()  # the commonest words stand in nearly all documents
-    prior = np.array([max(base[i] or 0, 1) for i in range(n)], float) / max(base[n] or 1, 1)
-    share = [F.col(f"n{i}") / F.col(f"n{n}") for i in range(n)]
-    best = F.greatest(*share)
+    prior = [max(base[i] or 0, 1) / max(base[n] or 1, 1) for i in range(n)]
+    total = F.col(f"n{n}")
+    share = [F.col(f"n{i}") / total for i in range(n)]
     # clearly more than the subject's share of all documents; where that is large, nearly always
-    needed = np.minimum(3 * prior, 0.9)
-    clear = F.greatest(*[x / float(p) for x, p in zip(share, needed)]) >= 1
-    rows = counts.where((best >= MIN_SHARE) & clear | F.col("word").isin(list(seeds))).collect()
+    each = F.array(*[F.struct((x / F.lit(p)).alias("score"), x.alias("share"), F.lit(i).alias("s"), F.lit(p).alias("prior"), F.lit(max(MIN_SHARE, min(3 * p, 0.9))).alias("needed")) for i, (x, p) in enumerate(zip(share, prior))])
+    ranked = counts.select("word", total.alias("all"), F.reverse(F.array_sort(each)).alias("r"))
+    top, second = F.col("r")[0], F.coalesce(F.try_element_at("r", F.lit(2))["score"], F.lit(0.0))
+    sigmas = (top["share"] - top["prior"]) * F.col("all") / F.greatest(F.sqrt(F.col("all") * top["prior"] * (1 - F.least(top["prior"], F.lit(0.99)))), F.lit(1e-9))
+    good = (top["share"] >= top["needed"]) & (top["score"] >= MIN_LEAD * second) & (sigmas >= MIN_SIGMAS)
+    rows = ranked.select("word", top["s"].alias("s"), good.alias("good")).where(F.col("good") | F.col("word").isin(list(seeds))).collect()
     counts.unpersist()
     out = {w: s for w, s in seeds.items() if w not in {r.word for r in rows}}
-    for r in rows:
-        x = np.array([r[f"n{i}"] for i in range(n)], float) / r[f"n{n}"]
-        score = x / prior
-        order = np.argsort(-score)
-        p, all_docs = prior[order[0]], r[f"n{n}"]
-        sigmas = (x[order[0]] - p) * all_docs / max((all_docs * p * (1 - min(p, 0.99))) ** 0.5, 1e-9)
-        if x[order[0]] >= max(MIN_SHARE, needed[order[0]]) and score[order[0]] >= MIN_LEAD * score[order[1]] and sigmas >= MIN_SIGMAS:
-            out[r.word] = int(order[0])
-    return out
+    return out | {r.word: r.s for r in rows if r.good}
 
 
 LEVELS = (4, 2, 2, 2)  # votes of each function: lexicon 0, 1, 2, 3 and more; the others no or yes
 
 
-def _patterns(docs: DataFrame, lexicon: dict[str, int], favoured: dict[str, int], n: int) -> DataFrame:
+def _patterns(docs: DataFrame, lexicon: Lexicon, favoured: dict[str, int], n: int) -> DataFrame:
     """(doc_id, subject, pattern, named) of subjects that any function but the source sees."""
 
-    alike = rewrites({})
-
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fold = rewriter(alike)
         for batch in batches:
-            ids, subjects, patterns, counts = [], [], [], []
-            for i, text, source in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                text = fold(text)
-                units = _units(text)
-                named = _named(units, lexicon, n)
-                head, address = _places(text, units, lexicon, n)
-                favoured_one = favoured.get(source, -1)
-                for s in np.nonzero((named > 0) | head | address)[0].tolist():
-                    ids.append(i)
-                    subjects.append(s)
-                    counts.append(int(named[s]))
-                    patterns.append(int(((min(named[s], 3) * 2 + head[s]) * 2 + address[s]) * 2 + (favoured_one == s)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(subjects, pa.int32()), pa.array(patterns, pa.int32()), pa.array(counts, pa.int32())], ["doc_id", "s", "pattern", "named"])
-
-    return docs.select("doc_id", "text", "source").mapInArrow(go, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, s int, pattern int, named int")
+            _, _, named, _ = _named(batch.column(2), batch.column(3), lexicon, n)
+            votes = []
+            for k in (4, 5):
+                codes, row = _flat(batch.column(k))
+                s, seen = lexicon.find(codes), np.zeros((batch.num_rows, n), bool)
+                seen[row[s >= 0], s[s >= 0]] = True
+                votes.append(seen)
+            source = np.array([favoured.get(x, -1) for x in batch.column(1).to_pylist()], np.int64)
+            row, s = np.nonzero((named > 0) | votes[0] | votes[1])
+            count = named[row, s]
+            pattern = ((np.minimum(count, 3) * 2 + votes[0][row, s]) * 2 + votes[1][row, s]) * 2 + (source[row] == s)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(s, pa.int32()), pa.array(pattern, pa.int32()), pa.array(count, pa.int32())], ["doc_id", "s", "pattern", "named"])
+
+    return docs.select("doc_id", "source", "words", "ends", "head", "address").mapInArrow(go, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, s int, pattern int, named int")
 
 
 def learn(counts: pd.DataFrame, n_docs: int, n: int, rounds: int = 60) -> np.ndarray:
@@ -253,18 +267,19 @@ def learn(counts: pd.DataFrame, n_docs: int, n: int, rounds: int = 60) -> np.nda
     return q
 
 
-def lexicon_of(docs: DataFrame, labels: DataFrame, subjects: list[str]) -> tuple[DataFrame, dict[str, int]]:
+def lexicon_of(docs: DataFrame, labels: DataFrame, subjects: list[str]) -> tuple[DataFrame, dict[int, int]]:
     n = len(subjects)
     at = {s.lower(): i for i, s in enumerate(subjects)}
-    found: dict[str, set] = defaultdict(set)
-    for s, words in SEEDS.items():
-        if s in at:
-            for w in words.split():
-                found[w.casefold()].add(at[s])
+    found: dict[int, set] = defaultdict(set)
+    for s, i in at.items():
+        for w in f"{s} {SEEDS.get(s, '')}".split():
+            found[_code(w.casefold())].add(i)
     seeds = {w: next(iter(x)) for w, x in found.items() if len(x) == 1}
-    known, lexicon = _known(docs.where("text <> ''"), labels, subjects), seeds
+    known, lexicon = _known(cut(read_words(docs.where("text <> ''").select("doc_id", "source", "text"))), labels, subjects), seeds
     for _ in range(ROUNDS):
-        lexicon = grow(known, lexicon, seeds, n)
+        last, lexicon = lexicon, grow(known, lexicon, seeds, n)
+        if len(last.items() ^ lexicon.items()) <= STILL * len(lexicon):
+            break
     return known, lexicon
 
 
@@ -277,7 +292,7 @@ def assign(docs: DataFrame, labels: DataFrame, subjects: list[str]) -> DataFrame
     # a folder favours the subject that labels give most of its documents, if they do so clearly
     per = known.where("label >= 0").groupBy("source", "label").count().groupBy("source").agg(F.max_by("label", "count").alias("s"), F.max("count").alias("top"), F.sum("count").alias("all"))
     favoured = {r.source: r.s for r in per.where("all >= 20 and top >= 0.5 * all").collect()}
-    patterns = _patterns(known, lexicon, favoured, n).persist()
+    patterns = cut(_patterns(known, Lexicon(lexicon), favoured, n))
     counts = patterns.groupBy("s", "pattern").agg(F.count("*").alias("n")).toPandas()
     post = learn(counts, known.count(), n)
     yes = [s * post.shape[1] + p for s in range(n) for p in range(post.shape[1]) if post[s, p] > 0.5]
