@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import keep
+from ..session import cut, keep
 
 # Letters of other scripts that are drawn like a Latin one.
 SAME_DRAWING = {
@@ -179,7 +179,7 @@ class Rewriter:
             return text
         if self.signs.isdisjoint(text):
             return text if text.isascii() else U.normalize("NFC", text)
-        for _ in range(8):  # a rewrite can make room for another; they end long before
+        for _ in range(len(text) + 8):  # a rewrite can make room for another
             out, at = [], 0
             for end, (size, to) in self.automaton.iter_long(text):
                 out += (text[at : end + 1 - size], to)
@@ -187,6 +187,8 @@ class Rewriter:
             if not out:
                 break
             text = "".join(out) + text[at:]
+        else:
+            raise RuntimeError("rewriting does not come to an end")
         return text if text.isascii() else U.normalize("NFC", text)
 
 
@@ -235,6 +237,22 @@ def alike_rows(texts: DataFrame, table: dict[str, str]) -> DataFrame:
     return texts.where("text <> ''").select("src", "id", "text").mapInArrow(go, f"src string, id {_kind(texts, 'id')}, raw binary, form binary")
 
 
+#: Parts that the strings of one form are spread over when they are paired.
+SHARES = 16
+
+
+def classes(texts: DataFrame, table: dict[str, str]) -> DataFrame:
+    """(src, id, class_id, strings, links): each string that looks like a different
+    one, with the least id of its class, how many different strings the class
+    has, and how many rows with another string it is linked to; two
+    aggregations, no pairs."""
+    rows = alike_rows(texts, table).distinct()
+    strings = cut(rows.groupBy("src", "form", "raw").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
+    forms = strings.groupBy("src", "form").agg(F.min("first").alias("class_id"), F.count("*").alias("strings"), F.sum("copies").alias("rows")).where("strings > 1")
+    counted = strings.join(forms, ["src", "form"]).select("src", "form", "raw", "class_id", "strings", (F.col("rows") - F.col("copies")).alias("links"))
+    return rows.join(counted, ["src", "form", "raw"]).select("src", "id", "class_id", "strings", "links")
+
+
 def alike_pairs_of(texts: DataFrame, table: dict[str, str]) -> DataFrame:
     """(src, id_a, id_b), id_a < id_b: strings that differ but look the same.
 
@@ -246,8 +264,11 @@ def alike_pairs_of(texts: DataFrame, table: dict[str, str]) -> DataFrame:
     strings = rows.groupBy("src", "form", "raw").agg(F.lit(1).alias("one"))
     mixed = strings.groupBy("src", "form").count().where("count > 1").select("src", "form")
     few = rows.join(mixed, ["src", "form"], "left_semi").groupBy("src", "form", "raw", "id").agg(F.lit(1).alias("one")).drop("one")
+    # a form that many strings share is spread: each string meets all others of its form, in the task of its own share
     left = few.select("src", "form", F.col("raw").alias("raw_a")).distinct()
-    both = left.join(left.select("src", "form", F.col("raw_a").alias("raw_b")), ["src", "form"]).where("raw_a < raw_b")
+    share = F.pmod(F.xxhash64("raw_a"), F.lit(SHARES))
+    right = left.select("src", "form", F.col("raw_a").alias("raw_b"), F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
+    both = left.withColumn("share", share.cast("int")).join(right, ["src", "form", "share"]).where("raw_a < raw_b")
     a = few.select("src", "form", F.col("raw").alias("raw_a"), F.col("id").alias("x"))
     b = few.select("src", "form", F.col("raw").alias("raw_b"), F.col("id").alias("y"))
     pairs = both.join(a, ["src", "form", "raw_a"]).join(b, ["src", "form", "raw_b"])

@@ -84,6 +84,11 @@ def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.canonical(texts, lookalikes.rewrites(lookalikes.count_members(texts))).distinct()
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    texts = _alike_texts(spark, d)
+    return lookalikes.classes(texts, lookalikes.rewrites(lookalikes.count_members(texts)))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents", "doc_id", "text"))
 

@@ -182,6 +182,8 @@ def test_alike(spark):
     got = {(r.id_a, r.id_b) for r in lookalikes.alike_pairs_of(df.union(df), table).collect()}
     group = [0, 1, 2, 3, 4, 6]
     assert got == {(a, b) for a in group for b in group if a < b and (a, b) != (0, 6)} | {(7, 8)}
+    parts = {r.id: (r.class_id, r.strings, r.links) for r in lookalikes.classes(df.union(df), table).collect()}
+    assert parts == {i: (0, 5, 4 if i in (0, 6) else 5) for i in group} | {7: (7, 2, 1), 8: (7, 2, 1)}
     forms = {r.id: r.form for r in lookalikes.canonical(df, table).collect()}
     assert {forms[i] for i in group} == {"Office in the hall"} and forms[10] == "x²" and 14 not in forms
     assert lookalikes.alike_pairs_of(df.limit(0), table).count() == 0
@@ -243,7 +245,7 @@ def test_subjects(spark):
         rnd.shuffle(lines)
         docs.append((k, "\n".join(lines), "Download"))
     docs += [(900, None, None), (901, "", "x")]
-    labels = [(k, s.upper() + " ") for k, s in sorted(want) if k % 5 == 0]
+    labels = [(k, s.upper() + " ") for k, s in sorted(want) if k % 2 == 0]
     d = spark.createDataFrame(docs, "doc_id long, text string, source string")
     lab = spark.createDataFrame(labels + labels[:3] + [(5, None)], "doc_id long, subject string")
     got = {tuple(r) for r in subjects.assign(d, lab, names).collect()}
