@@ -34,6 +34,11 @@ def upsert(catalog: DataFrame, new: DataFrame) -> DataFrame:
     return catalog.join(keys, F.lower(catalog["path"]) == keys["_key"], "left_anti").unionByName(new)
 
 
+def without_run(catalog: DataFrame, run: str) -> DataFrame:
+    """The catalog as if a run had never been."""
+    return catalog.where(~F.col("run_id").eqNullSafe(F.lit(run)))
+
+
 def remove(catalog: DataFrame, paths: DataFrame) -> DataFrame:
     keys = paths.select(F.lower("path").alias("_key")).distinct()
     return catalog.join(keys, F.lower(catalog["path"]) == keys["_key"], "left_anti")

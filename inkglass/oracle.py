@@ -6,7 +6,7 @@ from .functions.kinds import EXTENSIONS, LABELS, VOICE_HINTS, VOICE_ONLY
 from .functions.names import COPY_SUFFIX, GENERIC_WORDS, MACHINE_NAMES, SMALL_WORDS, SUFFIX_ROUNDS, VAGUE_WORDS
 from .functions.titles import JUNK_LINE, LINES, WORDS
 from .functions.topics import HEAD, rules
-from .queries import _LINKS, _OVERLAY, _TURNS, BULLET, CHECK, FIELD, KEYWORD, MISREAD_BULLET, ORDERED, SEARCH
+from .queries import BULLET, CHECK, FIELD, KEYWORD, MISREAD_BULLET, ORDERED, SEARCH
 
 
 def q(text: str) -> str:
@@ -171,11 +171,9 @@ SQL = {
     "block_runs": "WITH b AS (SELECT DISTINCT block_id, section_id, block_no, block_type FROM blocks), n AS (SELECT *, CASE WHEN block_type IS NOT DISTINCT FROM lag(block_type) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM b WINDOW w AS (PARTITION BY section_id ORDER BY block_no, block_id)), r AS (SELECT *, sum(new) OVER (PARTITION BY section_id ORDER BY block_no, block_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM n) SELECT section_id, run, block_type, count(*) AS blocks, min(block_no) AS first_no FROM r GROUP BY ALL",
     "section_stats": f"SELECT section_id, len(list_filter(string_split_regex(coalesce(text, ''), {q(_S)}), lambda w: w <> ''))::INT AS words, coalesce(floor(confidence + 0.5)::INT, 0) AS confidence, coalesce(confidence < 70, FALSE) AS unsure, coalesce(len(source_files), 0)::INT AS files FROM (SELECT DISTINCT ON (section_id) * FROM sections)",
     "section_sources": "SELECT file, count(*) AS sections, min(section_id) AS first_section FROM (SELECT section_id, unnest(list_distinct(source_files)) AS file FROM (SELECT DISTINCT ON (section_id) * FROM sections)) GROUP BY file",
-    "overlay_words": f"WITH w(page, word, cx, cy, norm) AS (VALUES {', '.join(f'({p}, {k}, {x}, {y}, {q(n)})' for p, k, x, y, n in _OVERLAY)}), m AS (SELECT a.page AS i, b.page AS j, a.word AS wa, min(b.word) AS wb FROM w a JOIN w b ON a.norm = b.norm AND a.page < b.page AND abs(a.cx - b.cx) <= 12 AND abs(a.cy - b.cy) <= 6 GROUP BY ALL), c AS (SELECT page, count(*) AS n FROM w GROUP BY page), "
-    "s AS (SELECT i, j FROM m JOIN c ci ON ci.page = i JOIN c cj ON cj.page = j GROUP BY i, j, ci.n, cj.n HAVING count(*) < least(ci.n, cj.n) * 0.5), k AS (SELECT i AS page, wa AS word FROM m SEMI JOIN s USING (i, j) UNION SELECT j, wb FROM m SEMI JOIN s USING (i, j)), "
-    "kw AS (SELECT w.* FROM w JOIN k USING (page, word)) SELECT page::INT AS page, word::INT AS word FROM k UNION SELECT w.page::INT, w.word::INT FROM w JOIN kw ON w.norm = kw.norm AND abs(w.cy - kw.cy) <= 120 AND abs(w.cx - kw.cx) <= 32.4",
-    "scroll_components": f"WITH RECURSIVE l(i, j) AS (VALUES {', '.join(f'({i}, {j})' for i, j in _LINKS)}), e AS (SELECT i, j FROM l UNION SELECT j, i FROM l), n AS (SELECT unnest(range(1, 11)) AS node), r AS (SELECT node, node AS to_node FROM n UNION SELECT r.node, e.j FROM r JOIN e ON r.to_node = e.i) SELECT node::BIGINT AS node, min(to_node)::BIGINT AS component FROM r GROUP BY node",
-    "chat_bubbles": f"WITH t(seq, who, words) AS (VALUES {', '.join(f'({s}, {q(w)}, {q(x)})' for s, w, x in _TURNS)}), n AS (SELECT *, CASE WHEN who = lag(who) OVER (ORDER BY seq) THEN 0 ELSE 1 END AS new FROM t), b AS (SELECT *, sum(new) OVER (ORDER BY seq)::BIGINT AS bubble FROM n) SELECT bubble, who, string_agg(words, ' ' ORDER BY seq) AS said FROM b GROUP BY bubble, who",
+    "section_components": "WITH RECURSIVE s AS (SELECT DISTINCT section_id, source_files FROM sections), f AS (SELECT DISTINCT section_id, unnest(source_files) AS file FROM s), e AS (SELECT DISTINCT a.section_id AS i, b.section_id AS j FROM f a JOIN f b ON a.file = b.file AND a.section_id <> b.section_id), r(node, to_node) AS (SELECT section_id, section_id FROM s UNION SELECT r.node, e.j FROM r JOIN e ON r.to_node = e.i) SELECT node, min(to_node) AS component FROM r GROUP BY node",
+    "section_bubbles": "WITH b AS (SELECT DISTINCT block_id, section_id, block_no, block_type, text FROM blocks), n AS (SELECT *, CASE WHEN block_type IS NOT DISTINCT FROM lag(block_type) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM b WINDOW w AS (PARTITION BY section_id ORDER BY block_no, block_id)), r AS (SELECT *, sum(new) OVER (PARTITION BY section_id ORDER BY block_no, block_id)::BIGINT AS bubble FROM n) SELECT section_id, bubble, block_type, coalesce(string_agg(text, ' ' ORDER BY block_no, block_id), '') AS said FROM r GROUP BY section_id, bubble, block_type",
+    "catalog_upsert_rows": f"WITH c AS {CATALOG}, n AS (SELECT *, '2' AS run_id FROM c WHERE kind IN ('PHOTO', 'SCREENSHOT')), o AS (SELECT *, '1' AS run_id FROM c WHERE preview <> '' AND lower(path) NOT IN (SELECT lower(path) FROM n)) SELECT path, run_id, size, date FROM (FROM n UNION ALL FROM o)",
     "markup_roundtrip": "SELECT DISTINCT section_id, TRUE AS same FROM sections WHERE text IS NOT NULL",
     "sanitized": "WITH s AS (SELECT item_id, trim(trim(regexp_replace(regexp_replace(text, '[\\\\/:*?\"<>|\\x{0}-\\x{1f}\\x{7f}-\\x{a0}]', ' ', 'g'), '\\s+', ' ', 'g')), '. -_,') AS s FROM benchmark), h AS (SELECT *, left(s, 60) AS h FROM s), b AS (SELECT *, length(h) - strpos(reverse(h), ' ') AS blank FROM h) SELECT item_id, CASE WHEN length(s) <= 60 THEN s ELSE trim(CASE WHEN contains(h, ' ') AND blank > 30 THEN left(h, blank) ELSE h END, '. -_,') END AS name FROM b",
     "first_good_lines": _good_line(),

@@ -84,6 +84,11 @@ def apply(moves: Iterable[tuple[str, str]], root: str, output: str) -> tuple[str
     return run, moved, failed
 
 
+def last_run(output: str) -> str | None:
+    """The last run that was not undone."""
+    return max((p.stem for p in Path(output, DATA, "runs").glob("*.tsv")), default=None)
+
+
 def undo_last(output: str) -> tuple[int, list[tuple[str, str]]]:
     """(restored, failed) of the last run that was not undone, in reverse order."""
     runs = sorted(Path(output, DATA, "runs").glob("*.tsv"))

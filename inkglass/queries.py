@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import describe, detectors, kinds, names, text, titles, topics
+from .functions import dates, describe, detectors, kinds, names, text, titles, topics
 from .functions.markup import parse_markup, to_markup
 from .operators import catalog, documents, duplicates, pages, timestamps
 from .plans import planner
@@ -144,8 +145,8 @@ def key_details(spark, d):
 
 def links_minus_email_domains(spark, d):
     rows = table(spark, d, "highlights", "section_id", "hl_key", "hl_value").where("hl_value is not null").select("section_id", F.lower("hl_key").alias("k"), F.lower("hl_value").alias("v")).distinct()
-    mails = rows.where("k = 'emails'").select("section_id", F.explode(F.array("v", F.substring_index("v", "@", -1))).alias("v")).distinct()
-    return rows.where("k = 'links'").join(mails, ["section_id", "v"], "left_anti").select("section_id", F.col("v").alias("link"))
+    values = rows.select(F.col("section_id").alias("grp"), F.col("k").alias("key"), F.col("v").alias("low"))
+    return detectors.without_mail_links(values).where("key = 'links'").select(F.col("grp").alias("section_id"), F.col("low").alias("link"))
 
 
 def highlight_values(spark, d):
@@ -198,7 +199,7 @@ def file_descriptions(spark, d):
 def best_date(spark, d):
     """The offer from the best source for each file; the first offered among equals."""
     rows = table(spark, d, "date_offers", "offer_id", "file_id", "date_text", "date_source").where("date_text <> ''").distinct()
-    return rows.groupBy("file_id").agg(F.min_by("date_text", F.struct("date_source", "offer_id")).alias("date_text"), F.min("date_source").alias("date_source"))
+    return rows.groupBy("file_id").agg(dates.best_offer(F.col("date_text"), F.col("date_source"), F.col("offer_id")).alias("date_text"), F.min("date_source").alias("date_source"))
 
 
 def file_name_dates(spark, d):
@@ -245,12 +246,20 @@ def catalog_join(spark, d):
     return table(spark, d, "documents", "doc_id", "n_chars").join(labels, "doc_id", "left")
 
 
+def _doc_paths(spark, d):
+    return table(spark, d, "documents", "doc_id").withColumn("path", F.col("doc_id").cast("string"))
+
+
+def _label_paths(spark, d):
+    return table(spark, d, "labels", "doc_id").where("doc_id is not null").select(F.col("doc_id").cast("string").alias("path"))
+
+
 def catalog_prune(spark, d):
-    return table(spark, d, "documents", "doc_id").join(table(spark, d, "labels", "doc_id"), "doc_id", "left_semi")
+    return catalog.prune(_doc_paths(spark, d), _label_paths(spark, d)).select("doc_id")
 
 
 def catalog_untracked(spark, d):
-    return table(spark, d, "documents", "doc_id").join(table(spark, d, "labels", "doc_id"), "doc_id", "left_anti")
+    return catalog.untracked(_label_paths(spark, d), _doc_paths(spark, d)).select("doc_id")
 
 
 def index_lines(spark, d):
@@ -284,12 +293,7 @@ def weighted_body_size(spark, d):
 def line_classes(spark, d):
     """How lines of blocks begin."""
     rows = table(spark, d, "blocks", "block_id", "text").where("text is not null").distinct().select("block_id", F.explode(F.split("text", "\n")).alias("line"))
-    x = F.col("line")
-    kind = (
-        F.when(x.rlike(CHECK), "check").when(x.rlike(ORDERED), "ordered").when(x.rlike(BULLET) | x.rlike(MISREAD_BULLET), "bullet")
-        .when(x.rlike(FIELD) & ~x.rlike("(?i)^https?:"), "field").otherwise("text")
-    )
-    return rows.groupBy("block_id", kind.alias("kind")).agg(F.count("*").alias("lines"))
+    return rows.groupBy("block_id", pages.line_kind(F.col("line")).alias("kind")).agg(F.count("*").alias("lines"))
 
 
 # Beginnings of lines, without lookaround.
@@ -328,23 +332,18 @@ def section_sources(spark, d):
     return rows.groupBy("file").agg(F.count("*").alias("sections"), F.min("section_id").alias("first_section"))
 
 
-_OVERLAY = [(1, 1, 500.0, 100.0, "follow"), (1, 2, 40.0, 300.0, "alpha"), (1, 3, 60.0, 400.0, "beta"), (1, 4, 80.0, 500.0, "gamma"), (2, 1, 501.0, 101.0, "follow"), (2, 2, 40.0, 900.0, "delta"), (2, 3, 60.0, 950.0, "alpha"), (2, 4, 70.0, 970.0, "omega"), (3, 1, 515.0, 130.0, "follow"), (3, 2, 20.0, 700.0, "kappa"), (3, 3, 25.0, 720.0, "sigma")]
-_LINKS = [(1, 2), (2, 3), (5, 6), (8, 7), (9, 9), (10, 8)]
-
-
-def overlay_words(spark, d):
-    rows = spark.createDataFrame([("a", p, 0, w, n, x, y, 1080, 2400) for p, w, x, y, n in _OVERLAY], "doc string, page int, line int, word int, norm string, cx double, cy double, img_w int, img_h int")
-    return pages.overlay_words(rows).select("page", "word")
-
-
 def page_overlay_words(spark, d):
     """The band join of overlay_words over the recognised lines of all files, a line being one word."""
     return pages.overlay_words(cut(pages.words_of(_as_pages(spark, d))))
 
 
-def scroll_components(spark, d):
-    nodes = spark.range(1, 11).withColumnRenamed("id", "node")
-    return pages.link_components(nodes, spark.createDataFrame(_LINKS, "i long, j long"))
+def section_components(spark, d):
+    """Sections that common source files lead to each other over any number of steps, by the least of them."""
+    rows = table(spark, d, "sections", "section_id", "source_files").dropDuplicates(["section_id"])
+    named = rows.select("section_id", F.explode("source_files").alias("file")).distinct()
+    first = named.groupBy("file").agg(F.min("section_id").alias("i"))
+    links = named.join(first, "file").where("section_id <> i").select("i", F.col("section_id").alias("j")).distinct()
+    return pages.link_components(rows.select(F.col("section_id").alias("node")), links)
 
 
 def _as_pages(spark, d):
@@ -365,24 +364,27 @@ def rendered_markdown(spark, d):
     return render.rendered(documents.organize(_as_pages(spark, d)), "md")
 
 
-def chat_bubbles(spark, d):
-    """Messages of chats, one after another by one speaker joined: windows over inline turns."""
-    rows = spark.createDataFrame(_TURNS, "seq int, who string, words string")
-    w = Window.orderBy("seq")
-    marked = rows.withColumn("new", F.when(F.col("who").eqNullSafe(F.lag("who").over(w)), 0).otherwise(1)).withColumn("bubble", F.sum("new").over(w))
-    return marked.groupBy("bubble", "who").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "words"))), lambda x: x["words"]), " ").alias("said"))
+def section_bubbles(spark, d):
+    """Neighbouring blocks of one type in a section, their texts joined like messages of one speaker."""
+    rows = table(spark, d, "blocks", "block_id", "section_id", "block_no", "block_type", "text").dropDuplicates(["block_id"])
+    said = pages.speaker_runs(rows, ["section_id"], ["block_no", "block_id"], "block_type", "text")
+    return said.select("section_id", F.col("run").alias("bubble"), F.col("who").alias("block_type"), "said")
 
 
-_TURNS = [(1, "Me", "hello"), (2, "Me", "are you there"), (3, "Jamie", "yes"), (4, "Me", "good"), (5, "Jamie", "see"), (6, "Jamie", "you")]
+def catalog_upsert_rows(spark, d):
+    """As :func:`catalog_upsert`, entry by entry."""
+    whole = _catalog(spark, d)
+    new = whole.where("kind in ('PHOTO', 'SCREENSHOT')").withColumn("run_id", F.lit("2"))
+    return catalog.upsert(whole.where("preview <> ''"), new).select("path", "run_id", "size", "date")
 
 
 def markup_roundtrip(spark, d):
     """Blocks parsed from the texts of sections and written again give the same markup."""
 
-    @F.udf("boolean")
-    def same(t):
-        once = to_markup(parse_markup(t))
-        return to_markup(parse_markup(once)) == once
+    @F.arrow_udf("boolean")
+    def same(t: pa.Array) -> pa.Array:
+        once = [to_markup(parse_markup(x)) for x in t.to_pylist()]
+        return pa.array([to_markup(parse_markup(x)) == x for x in once], pa.bool_())
 
     rows = table(spark, d, "sections", "section_id", "text").where("text is not null").distinct()
     return rows.select("section_id", same("text").alias("same"))

@@ -19,6 +19,7 @@ def local_session(cpus: int = 8, memory: str = "12g", app: str = "inkglass") ->
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", os.path.join(tempfile.gettempdir(), "inkglass-tables"))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
@@ -42,7 +43,11 @@ def _folder(spark: SparkSession) -> str:
     """The folder for written intermediate tables of this application, removed when it ends."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    folder = f"{(named or os.path.join(tempfile.gettempdir(), 'inkglass-tables')).rstrip('/')}/tables-{sc.applicationId}"
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        named = os.path.join(tempfile.gettempdir(), "inkglass-tables")
+    folder = f"{named.rstrip('/')}/tables-{sc.applicationId}"
     if folder not in _SWEPT:
         _SWEPT.add(folder)
         atexit.register(_sweep, spark, folder)
@@ -61,7 +66,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table to the shared folder and read it from there.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where that is unset (tests) a temporary folder of this machine is used.
+    where that is unset in a local session a temporary folder is used; on a
+    cluster it is an error.
     What is read does not depend on executors, is compressed, and its plan is
     one scan, however it was made.
     """
