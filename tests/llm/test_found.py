@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,41 @@ def test_noise(spark):
     assert "without the committee described every cupboard" in text[7, 1] and "morning library" in text[7, 2] and not any("Blue" in t or "- 4" in t for t in text.values())
 
 
+def test_long_pages(spark):
+    """Words cut where a page goes from one task to the next; retrieval against all known words."""
+    _, blocks, _ = scan_tables(spark)
+    words = "the committee described every cupboard beside station with notice about morning library counter pattern".split()
+    lines = []
+    for page in range(3):
+        body = [" ".join(random.Random(1000 * page + k).sample(words, 6)) for k in range(450)]
+        for k in (399, 420):
+            body[k], body[k + 1] = "without the comm-", "ittee described every cupboard"
+        lines += [(1000 * page + k, 7, page, k, t) for k, t in enumerate(body)]
+    ocr = spark.createDataFrame(lines, "line_id long, file_id long, page int, line_no int, text string")
+    all_pages = scans.pages(ocr, blocks)
+    rows = scans.read_pages(all_pages).where("t in ('cut', 'edge')").collect()
+    cuts = {(r.rec, r.a, r.b.split("\t")[1]) for r in rows if r.t == "cut"}
+    assert cuts == {(1000 * p + k, "comm-", "ittee") for p in range(3) for k in (399, 420)}
+    assert {r.no for r in rows if r.t == "edge"} <= {0, 1, 448, 449}
+
+
+def test_retrieval_recall():
+    """Half of a word's q-grams bring at least nine in ten misreadings to their word."""
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdefghilmnoprstuvw") for _ in range(rnd.randint(5, 12))) for _ in range(1500)]
+    swaps = [*scans.PAIRS, *((b, a) for a, b in scans.PAIRS), ("e", "c"), ("o", "0"), ("l", "1"), ("t", "f"), ("h", "b"), ("s", "5")]
+    grams = lambda w, few: {(g, n) for b in scans._grams(iter([pa.RecordBatch.from_arrays([pa.array([w]), pa.array([few])], ["word", "few"])])) for g, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist())}
+    asked = found = 0
+    for w in words:
+        a, b = rnd.choice(swaps)
+        if a not in w:
+            continue
+        mine, theirs = grams(w.replace(a, b, 1), 1), {g for g, _ in grams(w, 0)}
+        asked += 1
+        found += any(sum(g in theirs for g, _ in mine if g[0] == v) >= 0.4 * max(n for g, n in mine if g[0] == v) for v in "01")
+    assert asked > 300 and found >= 0.9 * asked, (found, asked)
+
+
 def test_booster():
     import numpy as np
 
