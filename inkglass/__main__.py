@@ -57,7 +57,7 @@ def main() -> None:
             _indexes(spark.read.parquet(table), a.output, output)
         return
     if a.search:
-        loose = readers.scan(spark, a.root, a.output).select(F.col("rel_path").alias("path"))
+        loose = readers.scan(spark, a.root, a.output).select(F.col("rel_path").alias("path")).where(~F.startswith("path", F.lit(a.output + "/")))
         catalog.search_all(spark.read.parquet(table), loose, a.search).show(50, False)
         return
     if a.refresh:
