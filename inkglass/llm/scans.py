@@ -1,10 +1,9 @@
 """Noise of scanned pages: found, and repaired into readable paragraphs.
 
 Words are counted once over the whole corpus.  For each word that the clean
-part of the corpus does not have, candidates for what stood on the page are
-retrieved by joining q-grams of the words' shapes (letters that recognition
-confuses have one shape) to an inverted index of the known words; a
-gradient-boosted ranker, fitted on bounded samples that label themselves
+part of the corpus does not have, candidates for what stood on the page are all
+known words no further than ``FAR`` from it, found by joining keys of which two
+such words always share one (see ``keys_of``); a gradient-boosted ranker, fitted on bounded samples that label themselves
 (digits and signs inside words; pairs of known words), chooses among them.
 
 Lines are classified in pairs, each by a booster of its own: a title with the
@@ -24,6 +23,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, reduce
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -57,8 +57,6 @@ _SIDE = regex.compile(r"\s{2,}")
 PART, CONTEXT = 400, 24
 #: Known words: this share of all words of clean text, or of scanned pages, and three times at least.
 CLEAN_SHARE, SCAN_SHARE = 2e-6, 1e-4
-#: Misreadings of a title are looked for on the pages it recurs on and this many around them.
-PAGES_AROUND = 8
 #: Samples that the boosters are fitted on at most, taken by hash.
 SAMPLE = 4000
 
@@ -277,18 +275,34 @@ def running_lines(rows: DataFrame) -> DataFrame:
     yes = (F.col("inner") == 0) & (F.col("n") >= 2) & (F.col("dense") >= 0.25)
     no = (F.col("inner") > F.col("outer")) | (F.col("dense") < 0.25)
     model = Booster().fit(*_sample(again, yes, no, F.xxhash64("grp", "a"), *by))
-    titles = _judged(again, model, "src string, grp long, a string, p int, q int", *by)
-    # other misreadings of a title, on the pages it recurs on; few titles can recur on a page, so few meet a line
-    block = lambda c: F.floor(c / PAGES_AROUND)
-    spots = titles.select("src", "grp", F.col("a").alias("known"), F.explode(F.sequence(block(F.col("p")) - 1, block(F.col("q")) + 1)).alias("spot"))
-    asked = lines.where("edge").select("src", "grp", "a", block(F.col("page")).alias("spot")).distinct().join(known.where("inner <= outer").select("src", "grp", "a"), ["src", "grp", "a"], "left_semi")
-    close = F.levenshtein("a", "known") <= F.greatest(F.lit(1), F.floor(F.length("known") / 6)).cast("int")
-    near = asked.join(spots, ["src", "grp", "spot"]).where((F.abs(F.length("a") - F.length("known")) <= F.greatest(F.lit(3), F.length("known") / 6)) & close).select("src", "grp", "a", "spot")
-    ways = titles.select("src", "grp", "a", F.lit(None).cast("bigint").alias("spot")).unionByName(near).groupBy("src", "grp", "a").agg(F.collect_set("spot").alias("spots"), F.max(F.col("spot").isNull()).alias("everywhere"))
-    found = lines.where("edge").join(ways, ["src", "grp", "a"]).where(F.col("everywhere") | F.array_contains("spots", block(F.col("page"))))
+    ways = _judged(again, model, "src string, grp long, a string", *by)
+    # other misreadings of a title, anywhere in its file
+    near = near_titles(known.where("inner <= outer").select("src", "grp", "a").join(ways, ["src", "grp", "a"], "left_anti"), ways)
+    found = lines.where("edge").join(ways.unionByName(near), ["src", "grp", "a"])
     return found.select("src", "no", "rec", "grp", "page").distinct()
 
 
+def near_titles(asked: DataFrame, titles: DataFrame) -> DataFrame:
+    """(src, grp, a) of asked lines that are nearly a title of their file: one
+    letter in six of the title may differ, at least one.
+
+    That is one letter in five of the line at most.  A line is split into one
+    piece more than that, so one piece at least is whole in the title, moved by
+    no more places than letters may differ; only such pairs are compared."""
+    few = lambda c: F.greatest(F.lit(1), F.floor(F.length(c) / 6)).cast("int")
+    pieces = lambda c, starts, long: F.transform(starts, lambda at: F.struct(at.alias("at"), F.substring(c, at + 1, long).alias("piece")))
+    lines = asked.join(titles.select("src", "grp").distinct(), ["src", "grp"], "left_semi").withColumn("line", F.xxhash64("a"))
+    known = titles.withColumnRenamed("a", "known").withColumn("title", F.xxhash64("known"))
+    split = lines.withColumn("many", F.greatest(F.lit(2), F.floor(F.length("a") / 5) + 1).cast("int")).withColumn("size", F.floor(F.length("a") / F.col("many")).cast("int"))
+    starts = F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda k: k * F.col("size"))
+    of_lines = split.select("src", "grp", "line", F.length("a").alias("n"), F.explode(pieces("a", starts, F.col("size"))).alias("x")).select("src", "grp", "line", "n", "x.*")
+    each = F.concat(*[pieces("known", F.sequence(F.lit(0), F.length("known") - k), F.lit(k)) for k in (2, 3, 4)])
+    of_titles = known.select("src", "grp", "title", F.length("known").alias("m"), few("known").alias("few"), F.explode(each).alias("x")).select("src", "grp", "title", "m", "few", F.col("x.at").alias("known_at"), "x.piece")
+    met = of_lines.join(of_titles, ["src", "grp", "piece"]).where((F.abs(F.col("at") - F.col("known_at")) <= F.col("few")) & (F.abs(F.col("n") - F.col("m")) <= F.col("few")))
+    pairs = met.select("src", "grp", "line", "title").distinct().join(lines, ["src", "grp", "line"]).join(known, ["src", "grp", "title"])
+    return pairs.where(F.levenshtein("a", "known") <= few("known")).select("src", "grp", "a").distinct()
+
+
 def page_numbers(rows: DataFrame, running: DataFrame) -> DataFrame:
     """(src, no, rec, grp, page) of lines with only a page number.  Numbers are
     paired with those of other pages of the file, with which they keep step, and
@@ -316,15 +330,25 @@ def word_table(rows: DataFrame) -> DataFrame:
     return rows.where("t = 'word'").groupBy(F.lower("a").alias("word")).agg(F.sum("n").alias("scan"), F.sum("grp").alias("clean"))
 
 
+@lru_cache(100_000)
+def shape_grams(word: str) -> tuple[frozenset[str], ...]:
+    """The 3-grams of a word's two shapes."""
+    shapes = ["^" + shape(word, pairs) + "$" for pairs in (SHAPE_PAIRS, OTHER_PAIRS)]
+    return tuple(frozenset(s[i : i + 3] for i in range(max(1, len(s) - 2))) for s in shapes)
+
+
+def shared_grams(word: str, known: str) -> float:
+    """The share of a word's 3-grams that the other has, by the shapes that are nearer."""
+    return max(len(a & b) / len(a) for a, b in zip(shape_grams(word), shape_grams(known)))
+
+
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words to the 3-grams of their two shapes; of long words that are looked
-    up, the rarest by a fixed order, enough that a likely original shares some."""
+    """Words to the 3-grams of their two shapes; of words marked few, some by a
+    fixed order.  Candidates are not found by these, which leave pairs out."""
     for batch in batches:
         words, grams, counts = [], [], []
         for w, few in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for v, pairs in enumerate((SHAPE_PAIRS, OTHER_PAIRS)):
-                s = "^" + shape(w, pairs) + "$"
-                own = {s[i : i + 3] for i in range(max(1, len(s) - 2))}
+            for v, own in enumerate(shape_grams(w)):
                 some = sorted(own, key=hash_of)[: max(5, int(0.5 * len(own)) + 1)] if few else own
                 for g in some:
                     words.append(w)
@@ -340,9 +364,10 @@ def hash_of(s: str) -> int:
     return h ^ h >> 15
 
 
-#: Words further apart than this are not compared any more.
-FAR = 2.2
-_WIDE = 4
+#: Words further apart than this are not compared any more (a little more than 2.2, for sums of costs are rounded).
+FAR = 2.2 + 1e-9
+#: No more steps than this fit into FAR, the least costing 0.3, so lengths differ by no more, either.
+_WIDE = 7
 
 
 def distance(word: str, other: str) -> float:
@@ -351,10 +376,10 @@ def distance(word: str, other: str) -> float:
     n, m = len(a), len(b)
     if abs(n - m) > _WIDE:
         return 99.0
-    rows = [[99.0] * (m + 1) for _ in range(n + 3)]
-    rows[0][0] = 0.0
+    row, below, third = ([99.0] * (m + 1) for _ in range(3))
+    row[0] = 0.0
     for i in range(n + 1):
-        row, least = rows[i], 99.0
+        least = 99.0
         for j in range(max(0, i - _WIDE), min(m, i + _WIDE) + 1):
             now = row[j]
             if now > FAR:
@@ -363,31 +388,84 @@ def distance(word: str, other: str) -> float:
             if i < n and j < m:
                 x, y = a[i], b[j]
                 c = now if x == y else now + (0.3 if _SHAPE.get(x, x) == _SHAPE.get(y, y) else 1.0)
-                if c < rows[i + 1][j + 1]:
-                    rows[i + 1][j + 1] = c
-            if i < n and now + 1.2 < rows[i + 1][j]:
-                rows[i + 1][j] = now + 1.2
+                if c < below[j + 1]:
+                    below[j + 1] = c
+            if i < n and now + 1.2 < below[j]:
+                below[j] = now + 1.2
             if j < m and now + 1.2 < row[j + 1]:
                 row[j + 1] = now + 1.2
             for one in _TWO.get(a[i : i + 2], ()):
-                if b.startswith(one, j) and now + 0.3 < rows[i + 2][j + 1]:
-                    rows[i + 2][j + 1] = now + 0.3
+                if b.startswith(one, j) and now + 0.3 < third[j + 1]:
+                    third[j + 1] = now + 0.3
             if i < n:
                 for one in _TWO.get(b[j : j + 2], ()):
-                    if a[i] == one and now + 0.4 < rows[i + 1][j + 2]:
-                        rows[i + 1][j + 2] = now + 0.4
-        if least > FAR and i < n and min(rows[i + 1]) > FAR:
+                    if a[i] == one and now + 0.4 < below[j + 2]:
+                        below[j + 2] = now + 0.4
+        if i == n:
+            break
+        if least > FAR and min(below) > FAR:
             return 99.0
-    return rows[n][m]
+        row, below, third = below, third, [99.0] * (m + 1)
+    return row[m]
 
 
 _TWO: dict[str, tuple[str, ...]] = {}
 for _pair, _single in PAIRS:
     _TWO[_pair] = (*_TWO.get(_pair, ()), _single)
 
+#: What is left of a letter when all that recognition confuses is made equal, letter by letter: no step of ``distance`` below 1 changes it.
+_CORE = {c: "" for k in "lub" for c in ONE_SHAPE[k]} | {c: k for k in "oesn" for c in ONE_SHAPE[k]} | {"w": "", "r": "n", "m": "nn", "d": "e"}
+#: Known words up to this length are found by what is left without one or two letters, longer ones by a third of them.
+SHORT = 10
+_PRIME = (1 << 61) - 1
+
+
+def keys_of(word: str, looked: bool) -> set[str]:
+    """Keys of which a word that is looked up and a known word share one at least
+    if they are no further than FAR from each other.
+
+    FAR has room for one step of 1 or more and some below, or for two and then
+    none below, of which one at most is a letter more or less.  In the first case
+    the cores before and after that step are the same.  In the second the words
+    are the same without a letter or two, and without two steps' letters one of
+    three parts of the known word is untouched, moved by one place at most."""
+    w = word.casefold()
+    n = len(w)
+    core = [_CORE.get(c, c) for c in w]
+    add = lambda h, letters: reduce(lambda g, c: (g * 1_000_003 + ord(c)) % _PRIME, letters, h)
+    heads = list(accumulate(core, add, initial=1))  # hashes, so that a long word costs no more than its length
+    tails = list(accumulate([c[::-1] for c in reversed(core)], add, initial=1))[::-1]
+    keys = {f"{heads[i]}|{tails[j]}" for i in range(n + 1) for j in (i, i + 1) if j <= n}
+    if n <= SHORT + looked:
+        less = {w[:i] + w[i + 1 :] for i in range(n)}
+        keys |= {f"-{x}" for x in less} | {f"-{x[:i]}{x[i + 1:]}" for x in less for i in range(n - 1)}
+    for m in (n - 1, n, n + 1) if looked else (n,):
+        if m > SHORT:
+            at = (0, m // 3, 2 * m // 3, m)
+            keys |= {f"{m}.{k}.{w[at[k] + d : at[k + 1] + d]}" for k in range(3) for d in {0, n - m} if at[k] + d >= 0 and at[k + 1] + d <= n}
+    return keys
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and whether they are looked up, to their keys."""
+    for batch in batches:
+        found = [(w, k) for w, looked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k in keys_of(w, looked)]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([k for _, k in found], pa.string())], ["word", "key"])
+
+
+def near_words(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(word, known): every asked word with other known words that may be within FAR; whoever is left out is further away."""
+    keyed = lambda df, looked: df.select("word", F.lit(looked).alias("looked")).mapInArrow(_keys, "word string, key string").select("word", F.xxhash64("key").alias("key"))
+    hits = keyed(asked, True).join(keyed(known, False).withColumnRenamed("word", "known"), "key")
+    return hits.where((F.col("word") != F.col("known")) & (F.abs(F.length("word") - F.length("known")) <= _WIDE)).select("word", "known").distinct()
+
 
-def features(word: str, known: str, scan: int, clean: int, known_scan: int, known_clean: int, shared: float) -> list[float]:
+def features(word: str, known: str, scan: int, clean: int, known_scan: int, known_clean: int) -> list[float] | None:
+    """What the ranker judges a pair by, none if the two are too far apart."""
     cost = distance(word, known)
+    if cost > FAR:
+        return None
+    shared = shared_grams(word, known)
     edits = sum(x != y for x, y in zip(word, known)) + abs(len(word) - len(known))
     log = math.log10
     return [log((scan + 0.5) / (known_scan + 0.5)), log((clean + 0.5) / (known_clean + 1)), cost, float(edits), float(len(known)), shared, log(known_scan + known_clean + 1), cost / max(len(known), 1)]
@@ -396,11 +474,11 @@ def features(word: str, known: str, scan: int, clean: int, known_scan: int, know
 def _feature_rows(pairs: DataFrame) -> DataFrame:
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(7)]
-            f = [features(*row) for row in zip(*cols)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(f, pa.list_(pa.float64()))], ["word", "known", "scan", "clean", "f"])
+            cols = [batch.column(k).to_pylist() for k in range(6)]
+            f = pa.array([features(*row) for row in zip(*cols)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), f], ["word", "known", "scan", "clean", "f"]).filter(f.is_valid())
 
-    return pairs.select("word", "known", "scan", "clean", "known_scan", "known_clean", "shared").mapInArrow(go, "word string, known string, scan long, clean long, f array<double>")
+    return pairs.select("word", "known", "scan", "clean", "known_scan", "known_clean").mapInArrow(go, "word string, known string, scan long, clean long, f array<double>")
 
 
 def _levels(table: DataFrame) -> tuple[int, int]:
@@ -416,21 +494,16 @@ def corrections(table: DataFrame, clean_min: int, scan_min: int) -> DataFrame:
     letters = F.col("word").rlike(r"^\p{L}[\p{L}-]*\p{L}$")
     known = table.where(is_known & letters)
     odd = F.regexp_like("word", F.lit(r"\p{L}[\d!|]|[\d!|]\p{L}"))
-    roman = F.col("word").rlike("^[ivxlc]+$")  # numbers of pages and chapters
-    asked = table.where((F.col("clean") < clean_min) & (F.length("word") >= 3) & ~F.col("word").rlike(r"\d{3}") & ~roman)
+    roman = F.col("word").rlike(_ROMAN.pattern)  # numbers of pages and chapters
+    asked = table.where((F.col("clean") < clean_min) & ~roman)
     # pairs of known words show what is no misreading
     peers = known.where((F.col("clean") >= clean_min) & (F.pmod(F.xxhash64("word"), F.lit(8)) == 0))
-    gram = lambda df, few: df.select("word", F.lit(int(few)).alias("few")).mapInArrow(_grams, "word string, gram string, size int")
-    index = gram(known, False).drop("size").withColumnRenamed("word", "known")
-    looked = gram(asked.select("word").unionByName(peers.select("word")), True)
-    near = looked.join(index, "gram").where((F.col("word") != F.col("known")) & (F.abs(F.length("word") - F.length("known")) <= _WIDE))
-    hits = near.groupBy("word", "known", F.left("gram", F.lit(1)).alias("v")).agg((F.count("*") / F.first("size")).alias("shared"))
-    scored = hits.groupBy("word", "known").agg(F.max("shared").alias("shared")).where("shared >= 0.4")
-    pairs = scored.join(table, "word").join(table.select(F.col("word").alias("known"), F.col("scan").alias("known_scan"), F.col("clean").alias("known_clean")), "known")
-    rows = cut(_feature_rows(pairs).where(f"f[2] <= {FAR}"))
+    near = near_words(asked.select("word").unionByName(peers.select("word")), known)
+    pairs = near.join(table, "word").join(table.select(F.col("word").alias("known"), F.col("scan").alias("known_scan"), F.col("clean").alias("known_clean")), "known")
+    rows = cut(_feature_rows(pairs))
     order = F.xxhash64("word", "known")
     f = lambda k: F.col("f")[k]
-    flat = rows.select("*", *[f(k).alias(f"f{k}") for k in range(8)])
+    flat = rows.where("scan + clean > 0").select("*", *[f(k).alias(f"f{k}") for k in range(8)])
     names = [f"f{k}" for k in range(8)]
     yes = odd & (f(7) <= 0.25) & (f(0) < 0)
     x, y = _sample(flat, yes, (F.col("clean") >= clean_min) & ~odd, order, *names)
@@ -498,10 +571,10 @@ def misread_words(all_pages: DataFrame, table: DataFrame, clean_min: int, fixes:
 SKIPPED = 400_000
 
 
-def cut_words(rows: DataFrame, furniture: DataFrame, table: DataFrame, fixes: DataFrame) -> DataFrame:
-    """(src, rec, no, rec_2, no_2, first, second, whole, mended) of words cut at
-    a line's end.  The second half is looked for past running lines and page
-    numbers, on the next page too."""
+def halves(rows: DataFrame, furniture: DataFrame) -> DataFrame:
+    """(src, rec, no, first, second, rec_2, no_2, whole, double, l, r, mark) of lines
+    that end in a mark and what follows.  The second half is looked for past
+    running lines and page numbers, on the next page too."""
     key = ["src", "rec", "no"]
     away = furniture.select(*key).withColumn("away", F.lit(1))
     cuts = rows.where("t = 'cut'").select(*key, "grp", "page", F.col("a").alias("first"), F.posexplode(F.split(F.concat(F.concat_ws("\t", "no", F.lit(""), "rec"), F.lit("\n"), F.col("b")), "\n")).alias("nth", "x"))
@@ -517,7 +590,17 @@ def cut_words(rows: DataFrame, furniture: DataFrame, table: DataFrame, fixes: Da
     pairs = own.where("s is not null").select(*key, "first", "s").unionByName(ends).select(*key, "first", "s.*").where("second <> ''")
     stem = F.expr("lower(substring(first, 1, length(first) - 1))")
     second = F.lower("second")
-    pairs = cut(pairs.withColumns({"whole": F.concat(stem, second), "double": F.concat(stem, F.lit("-"), second), "l": stem, "r": second, "mark": F.substring("first", -1, 1)}))
+    return pairs.withColumns({"whole": F.concat(stem, second), "double": F.concat(stem, F.lit("-"), second), "l": stem, "r": second, "mark": F.substring("first", -1, 1)})
+
+
+def with_wholes(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The word table with the words that are only read cut in two, counted as never seen, so that their misreadings are looked up, too."""
+    wholes = pairs.select(F.col("whole").alias("word")).distinct().join(table, "word", "left_anti")
+    return table.unionByName(wholes.select("word", F.lit(0).cast("long").alias("scan"), F.lit(0).cast("long").alias("clean")))
+
+
+def cut_words(pairs: DataFrame, table: DataFrame, fixes: DataFrame) -> DataFrame:
+    """(src, rec, no, rec_2, no_2, first, second, whole, mended) of the ``halves`` that are words cut at a line's end."""
     # the counts of all four, and what the whole is a misreading of, by one join
     told = table.select("word", (F.col("scan") + F.col("clean")).alias("count"), F.lit(None).cast("string").alias("known")).unionByName(fixes.select("word", F.lit(0).cast("long").alias("count"), "known"))
     asked = pairs.select(F.explode(F.array("whole", "double", "l", "r")).alias("word"), "whole", "double", "l", "r").distinct()
@@ -554,8 +637,9 @@ def analyse(lines: DataFrame, blocks: DataFrame) -> dict[str, DataFrame]:
     furniture = cut(running.withColumn("kind", F.lit("running")).unionByName(numbers.withColumn("kind", F.lit("page_number"))))
     table = cut(word_table(rows))
     clean_min, scan_min = _levels(table)
-    fixes = cut(corrections(table, clean_min, scan_min))
-    cuts = cut(cut_words(rows, furniture, table, fixes))
+    pairs = cut(halves(rows, furniture))
+    fixes = cut(corrections(cut(with_wholes(table, pairs)), clean_min, scan_min))
+    cuts = cut(cut_words(pairs, table, fixes))
     words = misread_words(all_pages, table, clean_min, fixes, cuts)
     return {"pages": all_pages, "furniture": furniture, "fixes": fixes, "cuts": cuts, "words": words, "misread": words.select("src", "rec").unionByName(half_misread(cuts)).distinct()}
 

@@ -151,6 +151,73 @@ def test_retrieval_recall():
     assert asked > 300 and found >= 0.9 * asked, (found, asked)
 
 
+def test_near_words_like_brute_force(spark):
+    """No known word within FAR is left out, whatever its shapes share and however many pairs of letters differ."""
+    rnd = random.Random(5)
+    known = sorted({"".join(rnd.choice("abcdefhilmnorstuvw") for _ in range(rnd.randint(2, 14))) for _ in range(300)} | {"the", "lifted", "mammommomm", "immunkommunikation"})
+    swaps = [*scans.PAIRS, *((b, a) for a, b in scans.PAIRS), ("e", "c"), ("o", "0"), ("l", "1"), ("s", "5")]
+    asked = {"tlie", "hfted", "rnarnrnornrnornrn", "irnrnunkornrnunikation"}
+    for w in known:
+        for _ in range(2):
+            v = w
+            for _ in range(rnd.randint(1, 3)):
+                a, b = rnd.choice([x for x in swaps if x[0] in v] or [("", "")])
+                at = rnd.randrange(len(v))
+                v = rnd.choice([v.replace(a, b, 1), v.replace(a, b), v[:at] + rnd.choice("aeknx") + v[at + 1 :], v[:at] + rnd.choice("aeknx") + v[at:], v[:at] + v[at + 1 :] or v])
+            asked.add(v)
+    table = lambda words: spark.createDataFrame([(w,) for w in words], "word string")
+    got = {(r.word, r.known) for r in scans.near_words(table(asked), table(known)).collect()}
+    close = {(w, k) for w in asked for k in known if w != k and scans.distance(w, k) <= scans.FAR}
+    assert {("tlie", "the"), ("hfted", "lifted"), ("rnarnrnornrnornrn", "mammommomm")} <= close and len(close) > 800
+    assert close <= got
+    long = "".join(rnd.choice("abcdefghilmnorstuvw") for _ in range(20_000))
+    assert sum(map(len, scans.keys_of(long, True))) < 100 * len(long)
+    assert scans.keys_of(long, False) & scans.keys_of(long[:9000] + "x" + long[9001:15_000] + long[15_001:], True)
+
+
+def test_corrections_of_unlike_shapes(spark):
+    """Misreadings whose shapes share too few q-grams with those of their words."""
+    known = "the library committee lifted hallway tunnel blieb outline june turn described cupboard station notice about morning pattern holidays without between counter".split()
+    odd = {w.replace(a, b, 1) for w in known for a, b in (("l", "1"), ("o", "0"), ("i", "!"), ("s", "5")) if a in w}
+    rows = [(w, 500, 500) for w in known] + [(w, 3, 0) for w in [*odd, "hfted", "hallvvay", "tiinnel", "bheb"]]
+    fixes = {r.word: r.known for r in scans.corrections(spark.createDataFrame(rows, "word string, scan long, clean long"), 3, 100).collect()}
+    assert {w: fixes.get(w) for w in ("hfted", "hallvvay", "tiinnel", "bheb")} == {"hfted": "lifted", "hallvvay": "hallway", "tiinnel": "tunnel", "bheb": "blieb"}
+
+
+def test_titles_misread_far_away(spark):
+    """A title's misreading many pages from where it is read well; lines nearly like a title, against all pairs."""
+    body = lambda p: [" ".join(random.Random(100 * p + k).sample("committee described every cupboard beside station with notice".split(), 4)) for k in range(8)]
+    title = {p: "Minutes of the Blue Office" for p in range(1, 20)} | {90: "Mixutes of the Blae Office"}
+    lines = [(100 * p + k, 7, p, k, t) for p in range(1, 91) for k, t in enumerate([title.get(p, f"in the {'abcdefghij'[p // 10] * 3}{'klmnopqrst'[p % 10] * 3} week"), *body(p)])]
+    _, blocks, _ = scan_tables(spark)
+    rows = scans.read_pages(scans.pages(spark.createDataFrame(lines, "line_id long, file_id long, page int, line_no int, text string"), blocks))
+    assert {r.rec for r in scans.running_lines(rows).where("src = 'line' and no = 0").collect()} >= {100 * p for p in title}
+    rnd = random.Random(3)
+    titles, asked = set(), set()
+    for g in range(20):
+        for _ in range(4):
+            t = "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(5, 40)))
+            titles.add(("line", g, t))
+            for _ in range(20):
+                w = list(t)
+                for _ in range(rnd.randint(1, max(1, len(t) // 6) + 1)):
+                    at = rnd.randrange(len(w))
+                    w[at : at + rnd.randint(0, 1)] = rnd.choice(["", *"abcdefgh"])
+                asked.add(("line", g, "".join(w)))
+    a, t = (spark.createDataFrame(sorted(x), "src string, grp long, a string") for x in ({x for x in asked if len(x[2]) >= 5}, titles))
+    got = {tuple(r) for r in scans.near_titles(a, t).collect()}
+    every = a.join(t.withColumnRenamed("a", "known"), ["src", "grp"]).where("levenshtein(a, known) <= greatest(1, int(length(known) / 6))")
+    assert got == {(r.src, r.grp, r.a) for r in every.collect()} and len(got) > 500
+
+
+def test_cut_words_misread(spark):
+    """A misread word that the corpus has only cut in two."""
+    ocr, blocks, at = scan_tables(spark)
+    ocr = ocr.withColumn("text", F.when(F.col("line_id") == at[4, 6], "1ttee described every cupboard").otherwise(F.col("text")))
+    got = {(r.rec_id, r.noise) for r in scans.noise(ocr, blocks).collect()}
+    assert {(at[4, 5], "broken_word"), (at[4, 6], "misread")} <= got
+
+
 def test_booster():
     import numpy as np
 
