@@ -200,3 +200,41 @@ def test_scalars_of_documents(spark, tmp_path):
     spark.createDataFrame([(7, "A <b> & *c*"), (8, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in queries.document_scalars(spark, str(tmp_path)).collect()}
     assert set(got) == {7, 8} and got[7].norm == "abc" and got[7].alnum == 3 and got[7].html == "A &lt;b&gt; &amp; *c*" and got[7].slug.startswith("sec-8-")
+
+
+def test_overlay_words_without_all_pairs_of_pages(spark, monkeypatch):
+    """A word at one place of k pages gives no k * k rows, and words and pages near it are those of brute force."""
+    import random
+
+    from inkglass import session
+    from inkglass.operators import pages
+
+    rnd, rows = random.Random(3), []
+    for p in range(150):
+        rows += [("long", p, 0, 0, "follow", 500.0 + p % 3, 100.0, 1080, 2400), *(("long", p, k, 0, f"own{p}x{k}", 60.0, 300.0 * k, 1080, 2400) for k in (1, 2, 3))]
+    base = [(rnd.choice("abcdefgh") * 2, rnd.uniform(0, 120), rnd.uniform(0, 120)) for _ in range(8)]
+    for p in range(14):
+        own = [(n, x + rnd.choice([0, 3, 6, 12]), y + rnd.choice([0, 0, 3, 6, 40])) for n, x, y in base if rnd.random() < 0.5]
+        own += [(n, x + 1, y) for n, x, y in own if rnd.random() < 0.2] + [(rnd.choice("ijklmn") * 2, rnd.uniform(0, 120), 5.0) for _ in range(rnd.randint(0, 6))]
+        rows += [("odd", p, k, 0, n, x, y, *rnd.choice([(1080, 1200), (900, 1600)])) for k, (n, x, y) in enumerate(own) for rnd in (random.Random(p),)]
+
+    def brute(own):
+        by = {}
+        for w in own:
+            by.setdefault(w[1], []).append(w)
+        known = set()
+        for i in by:
+            for j in (j for j in by if i < j):
+                tol = max(3.0, by[i][0][8] * 0.0025)
+                near = {a: min((b for b in by[j] if a[4] == b[4] and a[7:] == b[7:] and abs(a[5] - b[5]) <= 2 * tol and abs(a[6] - b[6]) <= tol), default=None) for a in by[i]}
+                hits = {(a, b) for a, b in near.items() if b}
+                if len(hits) < 0.5 * min(len(by[i]), len(by[j])):
+                    known |= {x for pair in hits for x in pair}
+        return {w[:4] for w in own if any(w[4] == k[4] and abs(w[6] - k[6]) <= w[8] * 0.05 and abs(w[5] - k[5]) <= w[7] * 0.03 for k in known)}
+
+    sizes, write = [], session.cut
+    monkeypatch.setattr(session, "cut", lambda df: sizes.append((out := write(df)).count()) or out)
+    df = spark.createDataFrame(rows, "doc string, page int, line int, word int, norm string, cx double, cy double, img_w int, img_h int")
+    got = {tuple(r) for r in pages.overlay_words(df).collect()}
+    assert got == {w for d in ("long", "odd") for w in brute([r for r in rows if r[0] == d])} and len(got) > 170
+    assert max(sizes) <= len(rows)
