@@ -238,3 +238,24 @@ def test_overlay_words_without_all_pairs_of_pages(spark, monkeypatch):
     got = {tuple(r) for r in pages.overlay_words(df).collect()}
     assert got == {w for d in ("long", "odd") for w in brute([r for r in rows if r[0] == d])} and len(got) > 170
     assert max(sizes) <= len(rows)
+
+
+def _pages_of_files(spark, folder):
+    rows = [(100 * f + 10 * p + k, f, p, 0, 0, k, t, 90.0, (60.0, 300.0 + 200 * k, 500.0, 330.0 + 200 * k), 1080, 2400) for f in (1, 2) for p in (1, 2, 3) for k, t in enumerate(["Follow", *(f"own words {'abcdefgh'[f + k]}{'xyz'[p - 1]}" for k in range(4))])]
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    spark.createDataFrame(rows, f"line_id long, file_id long, page int, block int, para int, line_no int, text string, confidence double, bbox {box}, img_w int, img_h int").write.parquet(f"{folder}/ocr_line.parquet")
+
+
+def _not_sent_to_the_driver(df):
+    """Written tables can have many more rows than their files are large, so none is broadcast."""
+    return "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_and_overlays_are_not_broadcast(spark, tmp_path):
+    from inkglass import queries
+
+    _pages_of_files(spark, tmp_path)
+    df = queries.organized_documents(spark, str(tmp_path))
+    assert _not_sent_to_the_driver(df)
+    docs = {r.doc: json.loads(r.json) for r in df.collect()}
+    assert set(docs) == {"1", "2"} and all("Follow" not in json.dumps(d["sections"]) for d in docs.values())
