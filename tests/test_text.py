@@ -139,3 +139,31 @@ def test_whole_titles_are_compared(spark, tmp_path):
     same = "the same forty characters and more stand at the beginning of both "
     spark.createDataFrame([(1, same + "apples"), (2, same + "violin")], "section_id long, title string").write.parquet(f"{tmp_path}/sections.parquet")
     assert queries.similar_whole_titles(spark, str(tmp_path)).first().dice < 1
+
+
+def test_near_pairs_of_long_texts(spark, monkeypatch):
+    """Long texts of one language share parts without being alike: they get no keys by parts, and their pairs are those of brute force."""
+    import random
+
+    from inkglass.operators import duplicates
+    from inkglass.operators.pages import alike
+
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("etaoinshrd") for _ in range(rnd.randint(2, 7))) for _ in range(80)]
+    texts = ["".join(rnd.choice(words) for _ in range(rnd.choice([12, 15, 18, 22, 26, 60, 200, 900]))) for _ in range(50)]
+    for s in texts[:50]:
+        for share in (0.02, 0.04, 0.08):
+            t = list(s)
+            for _ in range(int(len(s) * share)):
+                t[rnd.randrange(len(t))] = rnd.choice(["q", "", "zx"])
+            texts.append("".join(t))
+    texts = list(dict.fromkeys(texts))
+    want = {(i, k) for i, a in enumerate(texts) for k, b in enumerate(texts) if i < k and abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and alike(a, b) >= 0.92}
+    written, write = [], duplicates.cut
+    monkeypatch.setattr(duplicates, "cut", lambda df: written.append((out := write(df)).count()) or out)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, norm string")
+    got = {(r.kept, r.other) for r in duplicates.near_pairs(df).collect()}
+    assert got == want and len(want) > 60
+    assert max(written) < 50 * len(texts)
+    monkeypatch.setattr(duplicates, "SQUARE", 4)
+    assert {(r.kept, r.other) for r in duplicates.near_pairs(df).collect()} == want
