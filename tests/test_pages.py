@@ -259,3 +259,13 @@ def test_pages_and_overlays_are_not_broadcast(spark, tmp_path):
     assert _not_sent_to_the_driver(df)
     docs = {r.doc: json.loads(r.json) for r in df.collect()}
     assert set(docs) == {"1", "2"} and all("Follow" not in json.dumps(d["sections"]) for d in docs.values())
+
+
+def test_rendered_pages_are_not_broadcast(spark, tmp_path):
+    from inkglass import queries
+
+    _pages_of_files(spark, tmp_path)
+    df = queries.rendered_markdown(spark, str(tmp_path))
+    assert _not_sent_to_the_driver(df)
+    got = {r.doc: r.content for r in df.collect()}
+    assert set(got) == {"1", "2"} and all(c.startswith("# ") and "own words" in c and "Follow" not in c for c in got.values())
